@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from revgraph.llm import packing, tokens
+from revgraph.llm import jaccard, packing, tokens
 from revgraph.llm.common import table
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -28,9 +28,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.length_table(tokens.lengths(table(spark, sf_dir, "documents"), SINGLE, PATTERN))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_packing": op4_packing,
     "op9_token_counts": op9_token_counts,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 ORACLES: dict[str, str] = {}
