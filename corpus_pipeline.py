@@ -1,18 +1,45 @@
-"""The corpus pipeline: stages that each read their predecessor's table."""
+"""The corpus pipeline: five stages, each on the table that its predecessor wrote.
+
+Quality rules and toxicity drop documents, near duplicates leave one document of each group, secret scans replace secrets by a mark, and packing
+gives the pieces of what is left. SQL can't express the grammar, the components or the packing, so there is no ORACLE_SQL; the stages are
+tested against brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revgraph.llm import packing, queries
+from revgraph.llm import jaccard, packing, quality, queries, secrets, toxicity
 from revgraph.llm.common import table, written
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.good(docs)
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.civil(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.deduplicated(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redacted(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, queries.SINGLE, queries.PATTERN)
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("toxicity", toxicity_filter),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secret_scans),
+    ("packing", pack),
+]
 ORACLE_SQL = None
 
 

@@ -337,3 +337,9 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     least = of.where("class is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = of.join(least, "component", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, width: int = 5) -> DataFrame:
+    """The documents with the least doc_id of their component, with their columns; rows that repeat a doc_id stay or go together, rows without one stay."""
+    gone = near_duplicates(docs, width).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -71,7 +71,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where(F.size("v") == (sizes.size if sizes else 0))
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, centroids: int = 16, sample: int = 20_000, share: float = 0.6, least: int = 2000, block: int = 2048) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, centroids: int = 32, sample: int = 20_000, share: float = 0.5, least: int = 2000, block: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest that each query (vec_id divisible by `every`) finds."""
     spark = vectors.sparkSession
     all_vectors = usable(vectors)

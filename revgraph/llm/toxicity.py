@@ -127,18 +127,23 @@ class Grammar:
         return 1.0 - math.exp(-3.0 * total)
 
 
-def scored(docs: DataFrame, stems: dict[str, float]) -> DataFrame:
-    """All columns of docs with toxicity, a score from 0 to 1."""
+def score(stems: dict[str, float]) -> Column:
+    """A score from 0 to 1 of the column text."""
     grammar = Grammar(stems)
 
     @F.pandas_udf("double")
-    def score(texts):  # noqa: ANN001, ANN202
+    def of(texts):  # noqa: ANN001, ANN202
         return texts.map(grammar.score, na_action=None)
 
-    return docs.withColumn("toxicity", score(F.col("text")))
+    return of(F.col("text"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted of each document."""
-    out = scored(docs.select(F.col("doc_id").cast("long"), "text"), learn(docs, labels))
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= threshold).cast("int").alias("predicted"))
+    out = docs.select(F.col("doc_id").cast("long"), score(learn(docs, labels)).alias("score"))
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def civil(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The documents that score below the threshold, with their columns."""
+    return docs.where(score(learn(docs, labels)) < threshold)
