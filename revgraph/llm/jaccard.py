@@ -12,6 +12,7 @@ shingles only, where any partner must meet it. A boundary class of more than 3/4
 Only connectivity is wanted from a list, so a group of thousands of near copies isn't paired with itself: each class of a list is first
 held against one hub, the class of the lists whose listed shingles are least its own; what links is contracted. Then all pairs
 of a list from different components are counted by the lists they share, a bound on their overlap from that count drops most, and the rest is verified on whole sets.
+Between the two, some turns hold classes against members of other components that random orders pick, which contracts loosely knit groups.
 No list, set or pair is capped or sampled.
 
 Nulls and texts without words: empty set, linked with nothing. Rows that repeat a doc_id are documents of their own. Columns besides doc_id and text are
@@ -27,7 +28,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revgraph.llm.common import written
@@ -209,47 +210,59 @@ def shared(rows: DataFrame) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "class").mapInArrow(task, rows.schema)
 
 
-def cross_pairs(rows: DataFrame, block: int = 4096) -> DataFrame:
-    """(a, b, na, nb, lists): pairs of different components of compatible sizes, with how many lists they share; rows: token, class, n, component.
+def cross_pairs(rows: DataFrame, block: int = 4096, small: int = 64) -> DataFrame:
+    """(a, b, na, nb, lists): pairs of different components that may link, with how many lists they share; rows: token, class, n, k, component.
 
-    A list of more than `block` members is dealt into blocks, and each two blocks meet in a group of their own.
+    A pair that shares fewer lists than linking sets of their sizes must is left out, and so is one of which a member has too few listed shingles in
+    all for that. A list of more than `block` members is dealt into blocks, and each two blocks meet in a group of their own. Groups of up to
+    `small` members are paired many at a time, by the distance of their rows.
     """
 
+    def given(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        of, n, k, component, own, across = x[1:]
+        a, b = n[i], n[j]
+        shared = -(-3 * (a + b) // 7) - -(-3 * np.maximum(a, b) // 4) + 1
+        fit = (component[i] != component[j]) & (4 * np.minimum(a, b) >= 3 * np.maximum(a, b)) & (np.minimum(k[i], k[j]) >= shared) & ((across[i] == 0) | (own[i] != own[j]))
+        i, j = i[fit], j[fit]
+        swap = of[i] > of[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        return pa.RecordBatch.from_arrays([pa.array(of[i]), pa.array(of[j]), pa.array(n[i].astype(np.int32)), pa.array(n[j].astype(np.int32))], names=["a", "b", "na", "nb"])
+
     def pairs(x: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """A group by ascending n: a member meets those after it of at most 4/3 its size, some members at a time for bounded memory."""
-        of, n, component, own, across = x[1:]
-        if (component == component[0]).all():
-            return
-        step = max(1, (1 << 20) // len(of))
-        for k in range(0, len(of), step):
-            i = np.arange(k, min(k + step, len(of)))
-            j = np.arange(k + 1, int(np.searchsorted(n, 4 * int(n[i[-1]]) // 3, "right")))
-            fit = (j[None, :] > i[:, None]) & (3 * n[j][None, :] <= 4 * n[i][:, None]) & (component[j][None, :] != component[i][:, None])
-            if across[0]:
-                fit &= own[j][None, :] != own[i][:, None]
-            u, v = (z[k] for z, k in zip((i, j), np.nonzero(fit), strict=True))
-            swap = of[u] > of[v]
-            u, v = np.where(swap, v, u), np.where(swap, u, v)
-            yield pa.RecordBatch.from_arrays([pa.array(of[u]), pa.array(of[v]), pa.array(n[u].astype(np.int32)), pa.array(n[v].astype(np.int32))], names=["a", "b", "na", "nb"])
+        """Whole groups, each by ascending n."""
+        first = np.append(True, np.diff(x[0]) != 0)
+        start = np.nonzero(first)[0]
+        size = np.diff(np.append(start, x.shape[1]))
+        end = np.repeat(start + size, size)
+        short = np.repeat(size <= small, size)
+        place = np.arange(x.shape[1])
+        for step in range(1, int(size[size <= small].max(initial=0))):
+            place = place[short[place] & (place + step < end[place])]
+            yield given(x, place, place + step)
+        for s, m in zip(start[size > small], size[size > small], strict=True):
+            for k in range(s, s + m, each := max(1, (1 << 18) // m)):
+                i = np.arange(k, min(k + each, s + m))
+                j = np.arange(k + 1, s + int(np.searchsorted(x[2, s : s + m], 4 * int(x[2, i[-1]]) // 3, "right")))
+                u, v = np.nonzero(j[None, :] > i[:, None])
+                yield given(x, i[u], j[v])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((6, 0), np.int64)
+        held = np.empty((7, 0), np.int64)
         for batch in batches:
             held = np.concatenate((held, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])), axis=1)
-            *groups, held = np.split(held, np.nonzero(np.diff(held[0]))[0] + 1, axis=1)
-            for x in groups:
-                yield from pairs(x)
+            last = np.nonzero(np.diff(held[0]))[0]
+            if len(last):
+                yield from pairs(held[:, : last[-1] + 1])
+                held = held[:, last[-1] + 1 :]
         if held.shape[1]:
             yield from pairs(held)
 
     many = rows.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     own = rows.join(many, "token").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    group = dealt.select(
-        F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "class", "n", "component", "own", (F.col("own") != F.col("other")).cast("int").alias("across")
-    )
-    # Rows of a block itself (own = other) and of two blocks carry the same mark within a group.
-    found = group.repartition("group").sortWithinPartitions("group", "n", "class").mapInArrow(task, "a long, b long, na int, nb int")
+    group = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("group")
+    dealt = dealt.select(group, "class", "n", "k", "component", "own", (F.col("own") != F.col("other")).cast("int").alias("across"))
+    found = dealt.repartition("group").sortWithinPartitions("group", "n", "class").mapInArrow(task, "a long, b long, na int, nb int")
     return found.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("lists"))
 
 
@@ -263,47 +276,59 @@ def member_bits(ids: DataFrame, power: int = 25) -> np.ndarray:
     return bits
 
 
-def verified(pairs: DataFrame, docs: DataFrame, first_doc: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) of classes whose overlap reaches the threshold, on whole sets made anew from one text of each class."""
-    of = lambda c: first_doc.select(F.col("class").alias(c), F.col("doc_id").alias(f"{c}_doc"))
-    pairs = written(pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b"), "pairs")
-    needed = pairs.select(F.col("a_doc").alias("doc_id")).union(pairs.select("b_doc")).distinct()
+def whole_sets(of: DataFrame, docs: DataFrame, first_doc: DataFrame, width: int) -> DataFrame:
+    """(class, set) of the given classes, made anew from one text of each."""
+    needed = written(of.join(first_doc, "class"), "needed")
     bits = docs.sparkSession.sparkContext.broadcast(member_bits(needed))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(0).to_numpy() % (len(bits.value) * 8)
             batch = batch.filter(pa.array((bits.value[at >> 3] >> (at & 7) & 1).astype(bool)))
-            for ids, texts in batches_of(batch):
+            for ids, texts in batches_of(batch, 500):
                 found = [shingles(x, width) for x in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(map(class_of, found), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "class", "set"])
+                flat = pa.array(np.concatenate(found) if found else np.empty(0, np.int64))
+                ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(map(class_of, found), pa.int64()), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "class", "set"])
+
+    found = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(task, "doc_id long, class long, set array<long>")
+    return found.join(needed, ["doc_id", "class"]).select("class", "set")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), np.int64) for z in (x, y))
-                keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= overlap(len(x), len(y)))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    whole = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(sets, "doc_id long, class long, set binary")
-    right = pairs.join(whole.select(F.col("doc_id").alias("b_doc"), F.col("class").alias("b"), F.col("set").alias("b_set")), ["b_doc", "b"])
-    both = right.join(whole.select(F.col("doc_id").alias("a_doc"), F.col("class").alias("a"), F.col("set").alias("a_set")), ["a_doc", "a"])
-    return both.select("a", "b", "a_set", "b_set").mapInArrow(check, "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
+def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose overlap reaches the threshold."""
+    one = pairs.select("a", "b").join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
+    both = one.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(7 * shared >= 3 * (F.size("x") + F.size("y"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def least_shared(a: Column, b: Column) -> Column:
+    """So many prefix shingles two linking sets of these sizes share at least: all their overlap but what may lie beyond the longer prefix."""
+    return F.ceil((a + b) * 3 / 7) - F.ceil(F.greatest(a, b) * 0.75) + 1
 
 
 def stars(lists: DataFrame) -> DataFrame:
     """For each class the hub it shares most lists with: the member of a list with the greatest share of listed shingles that others have too."""
-    own = lists.groupBy("class").agg(F.count("*").alias("k"), F.first("n").alias("size"))
-    share = own.select("class", F.struct(-F.col("k") / (F.col("size") - F.ceil(F.col("size") * 0.75) + 1), "class", "size").alias("order"))
-    rows = lists.join(share, "class")
-    hub = rows.groupBy("token").agg(F.min("order").alias("hub"))
-    near = rows.join(hub, "token").select("class", "n", F.col("hub.class").alias("hub"), F.col("hub.size").alias("m"))
-    near = near.where("class <> hub and 4 * least(n, m) >= 3 * greatest(n, m)").groupBy("class", "hub").agg(F.count("*").alias("k"))
-    return near.groupBy("class").agg(F.max(F.struct("k", "hub")).alias("best")).select(F.col("class").alias("a"), F.col("best.hub").alias("b"))
+    order = F.struct(-F.col("k") / (F.col("n") - F.ceil(F.col("n") * 0.75) + 1), "class", "n")
+    hub = lists.groupBy("token").agg(F.min(order).alias("hub"))
+    near = lists.join(hub, "token").select("class", "n", "k", F.col("hub.class").alias("hub"), F.col("hub.n").alias("m"))
+    near = near.where("class <> hub and 4 * least(n, m) >= 3 * greatest(n, m)").where(F.col("k") >= least_shared(F.col("n"), F.col("m")))
+    near = near.groupBy("class", "hub").agg(F.count("*").alias("shared"))
+    return near.groupBy("class").agg(F.max(F.struct("shared", "hub")).alias("best")).select(F.col("class").alias("a"), F.col("best.hub").alias("b"))
+
+
+def probes(lists: DataFrame, turn: int, most: int = 4) -> DataFrame:
+    """For each class up to `most` members of other components, among those that a list ranks first or last by random orders; lists: with component."""
+    orders = [F.struct(F.xxhash64("class", F.lit(2 * turn + h)), "class", "n", "component") for h in range(2)]
+    hubs = lists.groupBy("token").agg(F.array(*(f(x) for x in orders for f in (F.min, F.max))).alias("hubs")).select("token", F.explode("hubs").alias("hub"))
+    near = lists.join(hubs, "token").where("component <> hub.component and 4 * least(n, hub.n) >= 3 * greatest(n, hub.n)").where(F.col("k") >= least_shared(F.col("n"), F.col("hub.n")))
+    near = near.groupBy("class", "hub.class").agg(F.count("*").alias("shared")).toDF("a", "b", "shared")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.col("shared").desc(), "b"))
+    return near.withColumn("r", rank).where(F.col("r") <= most).select("a", "b")
 
 
-def classes(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, width: int = 5, turns: int = 3) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, class) of each document, and (class, component) of the classes that have links."""
     docs = docs.select("doc_id", "text")
     survey = written(surveyed(docs, width), "survey")
@@ -317,17 +342,33 @@ def classes(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame]:
     light = boundary(sizes)
     rows = prefixes(docs, width, light, (found["token"].to_numpy(np.int64), found["count"].to_numpy(np.int64)))
     lists = written(shared(rows), "lists")
-    edges = written(verified(stars(lists), docs, first_doc, width), "links")
+    lists = lists.join(lists.groupBy("class").agg(F.count("*").cast("int").alias("k")), "class")
+    fellows = written(stars(lists), "stars")
+    sets = written(whole_sets(fellows.select(F.col("a").alias("class")).union(fellows.select("b")).distinct(), docs, first_doc, width), "sets")
+    edges = linked(fellows, sets)
     if light:
         edges = edges.union(light_edges(survey.where("token is not null and class is not null"), light))
     component = written(connected(edges), "components")
-    labelled = lists.join(component.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    mixed_lists = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    pairs = cross_pairs(labelled.join(mixed_lists, "token"))
-    most = F.greatest(F.ceil(F.col("na") * 3 / 4), F.ceil(F.col("nb") * 3 / 4)) - 1 + F.col("lists")
-    more = verified(pairs.where(7 * most >= 3 * (F.col("na") + F.col("nb"))), docs, first_doc, width)
-    final = written(connected(written(more.union(component.select(F.col("node").alias("u"), F.col("component").alias("v"))), "links")), "components")
-    return members, final
+    for turn in range(turns):
+        left = written(unsettled(lists, component), "lists")
+        fellows = probes(left.join(sets.select("class"), "class", "left_semi"), turn)
+        component = merged(component, linked(fellows, sets))
+    left = written(unsettled(lists, component), "lists")
+    pairs = written(cross_pairs(left).where(F.col("lists") >= least_shared(F.col("na"), F.col("nb"))), "pairs")
+    both = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    more = whole_sets(both.join(sets.select("class"), "class", "left_anti"), docs, first_doc, width)
+    return members, merged(component, linked(pairs, sets.union(more)))
+
+
+def unsettled(lists: DataFrame, component: DataFrame) -> DataFrame:
+    """The lists that hold several components, with them."""
+    rows = lists.join(component.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    several = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+    return rows.join(several, "token").select("token", "class", "n", "k", "component")
+
+
+def merged(component: DataFrame, edges: DataFrame) -> DataFrame:
+    return written(connected(edges.union(component.select(F.col("node").alias("u"), F.col("component").alias("v")))), "components")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
