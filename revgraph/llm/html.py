@@ -88,6 +88,8 @@ class Tree(HTMLParser):
                 return
             if tag not in BLOCKS and self.open[k].tag in ("td", "th", "table"):
                 return
+        if len(self.open) >= DEEPEST and tag in BLOCKS:
+            self.open[-1].children.append(Node(tag, {}))  # ends one that wasn't opened: a break is left of it
 
     def handle_data(self, data: str) -> None:
         self.open[-1].children.append(data)

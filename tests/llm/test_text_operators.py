@@ -1,0 +1,156 @@
+"""Secrets, quality, HTML, licenses and toxicity against plain Python."""
+
+import collections
+import hashlib
+import math
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from revgraph.llm import html, licenses, quality, secrets, toxicity
+
+TEXTS = [None, "", " \n\t ", "x" * 20_000, "a b c a b c a b c", 'token = "deadbeef01" TOKEN:abcdefgh', "é" * 3 + "password=short secret=longenough1"]
+
+
+def table(spark, texts, **more):
+    rows = [(i, x, "en", "src", len(x or "")) for i, x in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def base_spans(text):
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+    spans = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 8]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(spans)
+
+
+def test_secret_spans(spark):
+    key, hexes = "AKIA" + "ABCD1234" * 2, "0123456789abcdef" * 2
+    texts = [*TEXTS, f"{key} {hexes} {hexes}", "token=token:abcdefghij", f"ünï 😀 {hexes}", f"api_key='{hexes}'", "apikey=:x token==abcdefgh", "AKIA1234 AKIAAKIAAKIAAKIAA"]
+    for r in secrets.secrets(table(spark, texts)).collect():
+        want = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base_spans(texts[r.doc_id] or ""))
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest(), texts[r.doc_id]
+        assert set(filter(None, want.split(","))) <= set(r.spans.split(","))
+
+
+def test_entropy_of_windows(spark):
+    def best(s, w=secrets.WINDOW):
+        return max(-sum(c / w * math.log2(c / w) for c in collections.Counter(s[i : i + w]).values()) for i in range(len(s) - w + 1))
+
+    runs = ["aZ3kQ9xT7bLm2Vw8Rc5YpD4n", "a1" * 30, "7f3a9c1e5b8d2f6047a1c3e9", "Zm9vYmFyMTIzNDU2Nzg5+/=QqXx", "aaaaaaaaaaaaaaaaaaaa9Kd82Ls0PqXmZt4Rv7Ycaaaaaaaaaaaaaaaaaaaaa"]
+    least = {0: 3.55, 1: 3.55, 2: 3.0, 3: 3.65, 4: 3.55}
+    for r in secrets.secrets(table(spark, [f"x {s} y" for s in runs])).collect():
+        assert ("entropy" in r.spans) == (best(runs[r.doc_id]) >= least[r.doc_id]), runs[r.doc_id]
+    quiet = ["550e8400-e29b-41d4-a716-446655440000", "internationalization-of-things-2024", "EXAMPLE" + runs[0], "abcdefghijklmnopqrstuvwxyz"]
+    assert all("entropy" not in r.spans for r in secrets.secrets(table(spark, quiet)).collect())
+
+
+def test_redaction_keeps_other_columns(spark):
+    docs = table(spark, ['a token = "deadbeef0123" b', "clean", None]).withColumn("row", F.lit(7)).withColumn("spans", F.lit("s"))
+    got = {r.doc_id: r for r in secrets.redacted(docs).collect()}
+    assert (got[0].text, got[0].n_chars, got[0].row, got[0].spans) == ('a [SECRET]" b', 13, 7, "s")
+    assert (got[1].text, got[1].n_chars, got[2].text) == ("clean", 5, None)
+
+
+def test_quality_measures(spark):
+    texts = [*TEXTS, " ".join(f"w{i % 40}" for i in range(200)), "one two\n\none two\n # $ %|\n \none two", "the of and " * 60]
+    for r in quality.rules(table(spark, texts)).collect():
+        text = texts[r.doc_id] or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        count, covered, seen, lines = collections.Counter(windows), set(), set(), 0
+        for i, w in enumerate(windows):
+            covered |= {i, i + 1, i + 2} if count[w] > 1 else set()
+        for line in text.split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                lines += line in seen
+                seen.add(line)
+        want = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), lines, len(covered))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, text[:50]
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert not (r.base_failed and r.kept)
+
+
+def test_quality_filter_keeps_prose(spark):
+    prose = "the river of time is in a valley that leads to the sea and on to the hills beyond it " * 1
+    docs = [" ".join(f"{w}{i}" if k % 3 else w for k, w in enumerate(prose.split() * 8)) for i in range(30)] + ["#%$ " * 150]
+    got = quality.good(table(spark, docs).withColumn("kept", F.lit(1)))
+    assert {r.doc_id for r in got.collect()} >= set(range(30)) - {30}
+    assert 30 not in {r.doc_id for r in got.collect()}
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "kept"]
+
+
+def test_quality_of_nothing(spark):
+    assert quality.rules(table(spark, ["x"]).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (None, ""),
+        ("", ""),
+        ("<p>a<p>b", "a\n\nb"),
+        ("<ul><li>a<li>b<ol><li>c</ol></ul>", "- a\n- b\n\n  1. c"),
+        ("<table><tr><th>Name<th>N<tr><td>long name<td>1</table>", "Name       N\nlong name  1"),
+        ("a<script>x</script><div hidden>b</div><span style='display:none'>c</span> d &amp; e", "a d & e"),
+        ("<pre> x\n  y</pre>", " x\n  y"),
+        ("</p></div>x<b>y", "xy"),
+        ("a<br>b", "a\nb"),
+    ],
+)
+def test_rendering(page, text):
+    assert html.visible_text(page) == text
+
+
+def test_rendering_emits_all_visible_text(spark):
+    page = "<div>" * 500 + "deep" + "<table><tr><td>cell<p>more</table>tail"
+    got = html.extract(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")).collect()
+    assert re.sub(r"\s+", " ", got[0].text) == "deep cell more tail"
+    assert got[1].text == ""
+
+
+def test_license_scan_against_brute_force(spark):
+    notice = licenses.TEMPLATES[2][1]
+    part = " ".join(notice.split()[: int(len(notice.split()) * 0.6)])
+    texts = [*TEXTS, "mit license", "Released under the MIT-License. GNU General\nPublic License", "filler words " * 200 + notice + " more filler" * 100, part, "CC BY cc by cc byx", "ümit license"]
+    got = {r.doc_id: r for r in licenses.scan(table(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        places = sorted((k, label) for phrase, label in licenses.PHRASES.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split())
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None)
+        assert r.base_labels == ",".join(sorted({x for _, x in places}))
+        blocks = [set(words[k : k + 128]) for k in range(0, max(1, len(words) - 64), 64)]
+        more = {label for label, t in licenses.TEMPLATES for b in blocks if len(b & (s := {w.decode() for w in licenses.words(t)})) >= 0.8 * len(s) - 1e-9}
+        assert r.labels == ",".join(sorted(more | {x for _, x in places})), text
+    assert got[9].labels == "bsd"
+    assert licenses.scan(table(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_grammar():
+    g = toxicity.Grammar({"idiot": 1.0, "vequ-": 1.0})
+    assert g.score("") == g.score(None) == g.score("a fine day") == 0.0
+    assert g.score("what an idiot") >= 0.7
+    assert g.score("la vequgn est") >= 0.7
+    assert g.score("you idiot") > g.score("an idiot")
+    assert g.score("he is not an idiot") < 0.7
+    assert g.score("they said idiot") < g.score("an idiot")
+
+
+def test_learning_and_held_out_accuracy(spark):
+    rows = [(i, "good day to all " * 5 + ("you fool x" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)] + [(1000, None, 0), (1001, "", 0)]
+    docs = spark.createDataFrame([(i, x) for i, x, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, t) for i, _, t in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    assert all(got[i].predicted == t for i, _, t in rows)
+    assert all(0 <= r.score <= 1 for r in got.values())
+    import zlib
+
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
+    kept = toxicity.civil(docs.withColumn("toxicity", F.lit("x")), labels)
+    assert kept.columns == ["doc_id", "text", "toxicity"]
+    assert {r.doc_id for r in kept.collect()} == {i for i, _, t in rows if not t}
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+    assert all(r.predicted == 0 for r in toxicity.toxicity(docs, labels.limit(0)).collect())
