@@ -9,10 +9,10 @@ shingles: classes that share a subset link, without any further check. Heavy cla
 global order (frequent shingles last, as counted over all documents) and each set is listed under its first n - ceil(3n/4) + 1
 shingles only, where any partner must meet it. A boundary class of more than 3/4 of the boundary takes part in both.
 
-Only connectivity is wanted from a list, so a group of thousands of near copies isn't paired with itself: each class of a list is first
-held against one hub, the class of the lists whose listed shingles are least its own; what links is contracted. Then all pairs
-of a list from different components are counted by the lists they share, a bound on their overlap from that count drops most, and the rest is verified on whole sets.
-Between the two, some turns hold classes against members of other components that random orders pick, which contracts loosely knit groups.
+Pairs aren't emitted. The classes of lists that have one hub meet in a group, once each, with their listed shingles; a product of incidence
+matrices counts what each two share, and classes for which no partner reaches the count that linking sets of their sizes must share go out. The others come
+again with their whole sets, another product verifies all pairs of the group at once, and only the components within the group leave it. A large group is dealt into blocks, and each two
+blocks meet.
 No list, set or pair is capped or sampled.
 
 Nulls and texts without words: empty set, linked with nothing. Rows that repeat a doc_id are documents of their own. Columns besides doc_id and text are
@@ -21,14 +21,15 @@ ignored. Class ids are 64-bit hashes of sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revgraph.llm.common import written
@@ -210,60 +211,105 @@ def shared(rows: DataFrame) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "class").mapInArrow(task, rows.schema)
 
 
-def cross_pairs(rows: DataFrame, block: int = 4096, small: int = 64) -> DataFrame:
-    """(a, b, na, nb, lists): pairs of different components that may link, with how many lists they share; rows: token, class, n, k, component.
+def grouped(lists: DataFrame, block: int = 1024) -> DataFrame:
+    """(group, class, n, own, across, tokens): every two classes of a list meet in a group; tokens: all listed shingles of the class.
 
-    A pair that shares fewer lists than linking sets of their sizes must is left out, and so is one of which a member has too few listed shingles in
-    all for that. A list of more than `block` members is dealt into blocks, and each two blocks meet in a group of their own. Groups of up to
-    `small` members are paired many at a time, by the distance of their rows.
+    A list belongs to its hub, the member with the greatest share of listed shingles that others have too, so that the lists of a set of near copies
+    fall together, and a class is in a group once. A group of more than `block` members is dealt into blocks, of which each two meet.
     """
-
-    def given(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-        of, n, k, component, own, across = x[1:]
-        a, b = n[i], n[j]
-        shared = -(-3 * (a + b) // 7) - -(-3 * np.maximum(a, b) // 4) + 1
-        fit = (component[i] != component[j]) & (4 * np.minimum(a, b) >= 3 * np.maximum(a, b)) & (np.minimum(k[i], k[j]) >= shared) & ((across[i] == 0) | (own[i] != own[j]))
-        i, j = i[fit], j[fit]
-        swap = of[i] > of[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        return pa.RecordBatch.from_arrays([pa.array(of[i]), pa.array(of[j]), pa.array(n[i].astype(np.int32)), pa.array(n[j].astype(np.int32))], names=["a", "b", "na", "nb"])
-
-    def pairs(x: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Whole groups, each by ascending n."""
-        first = np.append(True, np.diff(x[0]) != 0)
-        start = np.nonzero(first)[0]
-        size = np.diff(np.append(start, x.shape[1]))
-        end = np.repeat(start + size, size)
-        short = np.repeat(size <= small, size)
-        place = np.arange(x.shape[1])
-        for step in range(1, int(size[size <= small].max(initial=0))):
-            place = place[short[place] & (place + step < end[place])]
-            yield given(x, place, place + step)
-        for s, m in zip(start[size > small], size[size > small], strict=True):
-            for k in range(s, s + m, each := max(1, (1 << 18) // m)):
-                i = np.arange(k, min(k + each, s + m))
-                j = np.arange(k + 1, s + int(np.searchsorted(x[2, s : s + m], 4 * int(x[2, i[-1]]) // 3, "right")))
-                u, v = np.nonzero(j[None, :] > i[:, None])
-                yield given(x, i[u], j[v])
+    own = lists.groupBy("class").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens"))
+    share = own.select("class", (-F.size("tokens") / (F.col("n") - F.ceil(F.col("n") * 0.75) + 1)).alias("share"))
+    rows = lists.select("token", "class").join(share, "class")
+    hubs = rows.groupBy("token").agg(F.min(F.struct("share", "class"))["class"].alias("hub"))
+    members = written(rows.join(hubs, "token").select("hub", "class").distinct(), "members")
+    many = members.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = members.join(many, "hub").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = F.xxhash64("hub", F.least("own", "other"), F.greatest("own", "other")).alias("group")
+    return dealt.select(group, "class", "own", (F.col("own") != F.col("other")).alias("across")).join(own, "class").select("group", "class", "n", "own", "across", "tokens")
+
+
+def shared_counts(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """How many elements each two sets share, by products of incidence matrices over `width` elements at a time."""
+    sizes = [len(x) for x in sets]
+    element, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1
+    column, row = place[inverse], np.repeat(np.arange(len(sets)), sizes)
+    often = count[inverse] > 1
+    column, row = column[often], row[often]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, (k, k + width))
+        x = np.zeros((len(sets), min(width, int(column[-1]) + 1 - k)), np.float32)
+        x[row[a:b], column[a:b] - k] = 1
+        total += x @ x.T
+    return total
+
+
+def by_group(rows: DataFrame, judge: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]], list[tuple]], names: list[str], schema: str) -> DataFrame:
+    """What judge(class, n, own, across, sets) makes of each group; rows: group, class, n, own, across, a column of sets."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((7, 0), np.int64)
+        held: list[list] = [[] for _ in range(6)]
+
+        def judged() -> pa.RecordBatch:
+            out = []
+            group = np.array(held[0])
+            for part in np.split(np.arange(len(group)), np.nonzero(np.diff(group))[0] + 1):
+                if len(part) > 1:
+                    a, b = part[0], part[-1] + 1
+                    found = judge(*(np.array(held[k][a:b]) for k in range(1, 5)), held[5][a:b])
+                    out += [(int(group[a]), *x) for x in found]
+            columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)
+
         for batch in batches:
-            held = np.concatenate((held, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])), axis=1)
-            last = np.nonzero(np.diff(held[0]))[0]
-            if len(last):
-                yield from pairs(held[:, : last[-1] + 1])
-                held = held[:, last[-1] + 1 :]
-        if held.shape[1]:
-            yield from pairs(held)
-
-    many = rows.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = rows.join(many, "token").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    group = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("group")
-    dealt = dealt.select(group, "class", "n", "k", "component", "own", (F.col("own") != F.col("other")).cast("int").alias("across"))
-    found = dealt.repartition("group").sortWithinPartitions("group", "n", "class").mapInArrow(task, "a long, b long, na int, nb int")
-    return found.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("lists"))
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                columns = [c.to_pylist() for c in part.columns[:5]]
+                flat, ends = part.column(5).flatten().to_numpy(), np.cumsum(pc.list_value_length(part.column(5)).to_numpy())
+                columns.append(np.split(flat, ends[:-1]))
+                more = len(columns[0])
+                cut = more
+                while cut and columns[0][cut - 1] == columns[0][more - 1]:
+                    cut -= 1
+                # What ends before the last group of this part is whole.
+                if cut or (held[0] and held[0][-1] != columns[0][0]):
+                    for h, c in zip(held, columns, strict=True):
+                        h.extend(c[:cut])
+                    yield judged()
+                    held = [[] for _ in range(6)]
+                for h, c in zip(held, columns, strict=True):
+                    h.extend(c[cut:])
+        if held[0]:
+            yield judged()
+
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(task, schema)
+
+
+def able(of: np.ndarray, n: np.ndarray, own: np.ndarray, across: np.ndarray, tokens: list[np.ndarray]) -> list[tuple]:
+    """The classes of a group that share as many listed shingles with another as linking sets of their sizes must."""
+    less, more = np.minimum.outer(n, n), np.maximum.outer(n, n)
+    fit = (4 * less >= 3 * more) & (shared_counts(tokens) >= -(-3 * (less + more) // 7) - -(-3 * more // 4) + 1)
+    fit &= (own[:, None] != own[None, :]) | ~across[:, None]
+    np.fill_diagonal(fit, False)
+    return [(c, a, b, int(x)) for c, a, b, x, some in zip(of.tolist(), n.tolist(), own.tolist(), across, fit.any(1), strict=True) if some]
+
+
+def links(of: np.ndarray, n: np.ndarray, own: np.ndarray, across: np.ndarray, sets: list[np.ndarray]) -> list[tuple]:
+    """The components of a group's links, as stars."""
+    link = 7 * shared_counts(sets) >= 3 * np.add.outer(n, n)
+    label = np.arange(len(of))
+    while True:
+        then = np.where(link, label[None, :], len(of)).min(1)
+        then = np.minimum(then, label)
+        then = then[then]
+        if (then == label).all():
+            break
+        label = then
+    return [(c, int(of[k])) for c, k, i in zip(of.tolist(), label.tolist(), range(len(of)), strict=True) if k != i]
 
 
 def member_bits(ids: DataFrame, power: int = 25) -> np.ndarray:
@@ -295,40 +341,7 @@ def whole_sets(of: DataFrame, docs: DataFrame, first_doc: DataFrame, width: int)
     return found.join(needed, ["doc_id", "class"]).select("class", "set")
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose overlap reaches the threshold."""
-    one = pairs.select("a", "b").join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
-    both = one.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(7 * shared >= 3 * (F.size("x") + F.size("y"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-
-def least_shared(a: Column, b: Column) -> Column:
-    """So many prefix shingles two linking sets of these sizes share at least: all their overlap but what may lie beyond the longer prefix."""
-    return F.ceil((a + b) * 3 / 7) - F.ceil(F.greatest(a, b) * 0.75) + 1
-
-
-def stars(lists: DataFrame) -> DataFrame:
-    """For each class the hub it shares most lists with: the member of a list with the greatest share of listed shingles that others have too."""
-    order = F.struct(-F.col("k") / (F.col("n") - F.ceil(F.col("n") * 0.75) + 1), "class", "n")
-    hub = lists.groupBy("token").agg(F.min(order).alias("hub"))
-    near = lists.join(hub, "token").select("class", "n", "k", F.col("hub.class").alias("hub"), F.col("hub.n").alias("m"))
-    near = near.where("class <> hub and 4 * least(n, m) >= 3 * greatest(n, m)").where(F.col("k") >= least_shared(F.col("n"), F.col("m")))
-    near = near.groupBy("class", "hub").agg(F.count("*").alias("shared"))
-    return near.groupBy("class").agg(F.max(F.struct("shared", "hub")).alias("best")).select(F.col("class").alias("a"), F.col("best.hub").alias("b"))
-
-
-def probes(lists: DataFrame, turn: int, most: int = 4) -> DataFrame:
-    """For each class up to `most` members of other components, among those that a list ranks first or last by random orders; lists: with component."""
-    orders = [F.struct(F.xxhash64("class", F.lit(2 * turn + h)), "class", "n", "component") for h in range(2)]
-    hubs = lists.groupBy("token").agg(F.array(*(f(x) for x in orders for f in (F.min, F.max))).alias("hubs")).select("token", F.explode("hubs").alias("hub"))
-    near = lists.join(hubs, "token").where("component <> hub.component and 4 * least(n, hub.n) >= 3 * greatest(n, hub.n)").where(F.col("k") >= least_shared(F.col("n"), F.col("hub.n")))
-    near = near.groupBy("class", "hub.class").agg(F.count("*").alias("shared")).toDF("a", "b", "shared")
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.col("shared").desc(), "b"))
-    return near.withColumn("r", rank).where(F.col("r") <= most).select("a", "b")
-
-
-def classes(docs: DataFrame, width: int = 5, turns: int = 3) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, class) of each document, and (class, component) of the classes that have links."""
     docs = docs.select("doc_id", "text")
     survey = written(surveyed(docs, width), "survey")
@@ -342,33 +355,14 @@ def classes(docs: DataFrame, width: int = 5, turns: int = 3) -> tuple[DataFrame,
     light = boundary(sizes)
     rows = prefixes(docs, width, light, (found["token"].to_numpy(np.int64), found["count"].to_numpy(np.int64)))
     lists = written(shared(rows), "lists")
-    lists = lists.join(lists.groupBy("class").agg(F.count("*").cast("int").alias("k")), "class")
-    fellows = written(stars(lists), "stars")
-    sets = written(whole_sets(fellows.select(F.col("a").alias("class")).union(fellows.select("b")).distinct(), docs, first_doc, width), "sets")
-    edges = linked(fellows, sets)
+    five = ["group", "class", "n", "own", "across"]
+    chosen = written(by_group(grouped(lists), able, five, "group long, class long, n long, own long, across long"), "chosen")
+    sets = whole_sets(chosen.select("class").distinct(), docs, first_doc, width)
+    meeting = chosen.join(sets, "class").select(*five, "set")
+    edges = by_group(meeting, links, ["group", "u", "v"], "group long, u long, v long").select("u", "v")
     if light:
         edges = edges.union(light_edges(survey.where("token is not null and class is not null"), light))
-    component = written(connected(edges), "components")
-    for turn in range(turns):
-        left = written(unsettled(lists, component), "lists")
-        fellows = probes(left.join(sets.select("class"), "class", "left_semi"), turn)
-        component = merged(component, linked(fellows, sets))
-    left = written(unsettled(lists, component), "lists")
-    pairs = written(cross_pairs(left).where(F.col("lists") >= least_shared(F.col("na"), F.col("nb"))), "pairs")
-    both = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    more = whole_sets(both.join(sets.select("class"), "class", "left_anti"), docs, first_doc, width)
-    return members, merged(component, linked(pairs, sets.union(more)))
-
-
-def unsettled(lists: DataFrame, component: DataFrame) -> DataFrame:
-    """The lists that hold several components, with them."""
-    rows = lists.join(component.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    several = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    return rows.join(several, "token").select("token", "class", "n", "k", "component")
-
-
-def merged(component: DataFrame, edges: DataFrame) -> DataFrame:
-    return written(connected(edges.union(component.select(F.col("node").alias("u"), F.col("component").alias("v")))), "components")
+    return members, written(connected(edges), "components")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
