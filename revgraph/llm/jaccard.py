@@ -44,7 +44,7 @@ class Hashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -212,21 +212,21 @@ def shared(rows: DataFrame) -> DataFrame:
 
 
 def grouped(lists: DataFrame, block: int = 1024) -> DataFrame:
-    """(group, class, n, own, across, tokens): every two classes of a list meet in a group; tokens: all listed shingles of the class.
+    """(group, class, n, own, across, k): every two classes of a list meet in a group; k: how many listed shingles the class has, as an array of one.
 
     A list belongs to its hub, the member with the greatest share of listed shingles that others have too, so that the lists of a set of near copies
     fall together, and a class is in a group once. A group of more than `block` members is dealt into blocks, of which each two meet.
     """
-    own = lists.groupBy("class").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens"))
-    share = own.select("class", (-F.size("tokens") / (F.col("n") - F.ceil(F.col("n") * 0.75) + 1)).alias("share"))
+    own = lists.groupBy("class").agg(F.first("n").alias("n"), F.count("*").alias("k"))
+    share = own.select("class", (-F.col("k") / (F.col("n") - F.ceil(F.col("n") * 0.75) + 1)).alias("share"))
     rows = lists.select("token", "class").join(share, "class")
     hubs = rows.groupBy("token").agg(F.min(F.struct("share", "class"))["class"].alias("hub"))
-    members = written(rows.join(hubs, "token").select("hub", "class").distinct(), "members")
+    members = written(lists.select("token", "class").join(hubs, "token").select("hub", "class").distinct(), "members")
     many = members.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = members.join(many, "hub").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.xxhash64("hub", F.least("own", "other"), F.greatest("own", "other")).alias("group")
-    return dealt.select(group, "class", "own", (F.col("own") != F.col("other")).alias("across")).join(own, "class").select("group", "class", "n", "own", "across", "tokens")
+    return dealt.select(group, "class", "own", (F.col("own") != F.col("other")).alias("across")).join(own, "class").select("group", "class", "n", "own", "across", F.array("k").alias("k"))
 
 
 def shared_counts(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
@@ -289,27 +289,50 @@ def by_group(rows: DataFrame, judge: Callable[[np.ndarray, np.ndarray, np.ndarra
     return rows.repartition("group").sortWithinPartitions("group").mapInArrow(task, schema)
 
 
+def fitting(n: np.ndarray, own: np.ndarray, across: np.ndarray, have: Callable[[slice], np.ndarray]) -> np.ndarray:
+    """Which members of a group have another of a compatible size with which have() reaches the count that linking sets must share; some rows at a time."""
+    n, out = n.astype(np.int32), np.zeros(len(n), bool)
+    for k in range(0, len(n), 256):
+        part = slice(k, k + 256)
+        less, more = np.minimum.outer(n[part], n), np.maximum.outer(n[part], n)
+        fit = (4 * less >= 3 * more) & (have(part) >= -(-3 * (less + more) // 7) - -(-3 * more // 4) + 1)
+        if across[0]:
+            fit &= own[part, None] != own[None, :]
+        fit[np.arange(len(fit)), np.arange(k, k + len(fit))] = False
+        out[part] = fit.any(1)
+    return out
+
+
+def kept(some: np.ndarray, of: np.ndarray, n: np.ndarray, own: np.ndarray, across: np.ndarray) -> list[tuple]:
+    return [tuple(map(int, x)) for x in zip(of[some], n[some], own[some], across[some], strict=True)]
+
+
+def possible(of: np.ndarray, n: np.ndarray, own: np.ndarray, across: np.ndarray, k: list[np.ndarray]) -> list[tuple]:
+    """The classes of a group that have, as another has, enough listed shingles to share as many as linking sets of their sizes must."""
+    k = np.concatenate(k)
+    return kept(fitting(n, own, across, lambda part: np.minimum.outer(k[part], k)), of, n, own, across)
+
+
 def able(of: np.ndarray, n: np.ndarray, own: np.ndarray, across: np.ndarray, tokens: list[np.ndarray]) -> list[tuple]:
-    """The classes of a group that share as many listed shingles with another as linking sets of their sizes must."""
-    less, more = np.minimum.outer(n, n), np.maximum.outer(n, n)
-    fit = (4 * less >= 3 * more) & (shared_counts(tokens) >= -(-3 * (less + more) // 7) - -(-3 * more // 4) + 1)
-    fit &= (own[:, None] != own[None, :]) | ~across[:, None]
-    np.fill_diagonal(fit, False)
-    return [(c, a, b, int(x)) for c, a, b, x, some in zip(of.tolist(), n.tolist(), own.tolist(), across, fit.any(1), strict=True) if some]
+    """The classes of a group that do share so many with another."""
+    common = shared_counts(tokens)
+    return kept(fitting(n, own, across, lambda part: common[part]), of, n, own, across)
 
 
 def links(of: np.ndarray, n: np.ndarray, own: np.ndarray, across: np.ndarray, sets: list[np.ndarray]) -> list[tuple]:
     """The components of a group's links, as stars."""
-    link = 7 * shared_counts(sets) >= 3 * np.add.outer(n, n)
-    label = np.arange(len(of))
+    common, link = shared_counts(sets), np.zeros((len(n), len(n)), bool)
+    for k in range(0, len(n), 256):
+        link[k : k + 256] = 7 * common[k : k + 256] >= 3 * np.add.outer(n[k : k + 256], n)
+    label = np.arange(len(of), dtype=np.int32)
     while True:
-        then = np.where(link, label[None, :], len(of)).min(1)
+        then = np.concatenate([np.where(link[k : k + 256], label[None, :], len(of)).min(1) for k in range(0, len(n), 256)])
         then = np.minimum(then, label)
         then = then[then]
         if (then == label).all():
             break
         label = then
-    return [(c, int(of[k])) for c, k, i in zip(of.tolist(), label.tolist(), range(len(of)), strict=True) if k != i]
+    return [(int(of[i]), int(of[k])) for i, k in enumerate(label.tolist()) if k != i]
 
 
 def member_bits(ids: DataFrame, power: int = 25) -> np.ndarray:
@@ -322,9 +345,9 @@ def member_bits(ids: DataFrame, power: int = 25) -> np.ndarray:
     return bits
 
 
-def whole_sets(of: DataFrame, docs: DataFrame, first_doc: DataFrame, width: int) -> DataFrame:
-    """(class, set) of the given classes, made anew from one text of each."""
-    needed = written(of.join(first_doc, "class"), "needed")
+def with_sets(rows: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Rows (with class and the doc_id of a text of it) with the class's whole set, made anew from that text."""
+    needed = written(rows, "needed")
     bits = docs.sparkSession.sparkContext.broadcast(member_bits(needed))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +361,7 @@ def whole_sets(of: DataFrame, docs: DataFrame, first_doc: DataFrame, width: int)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(map(class_of, found), pa.int64()), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "class", "set"])
 
     found = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(task, "doc_id long, class long, set array<long>")
-    return found.join(needed, ["doc_id", "class"]).select("class", "set")
+    return needed.join(found, ["doc_id", "class"])
 
 
 def classes(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -355,10 +378,11 @@ def classes(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame]:
     light = boundary(sizes)
     rows = prefixes(docs, width, light, (found["token"].to_numpy(np.int64), found["count"].to_numpy(np.int64)))
     lists = written(shared(rows), "lists")
-    five = ["group", "class", "n", "own", "across"]
-    chosen = written(by_group(grouped(lists), able, five, "group long, class long, n long, own long, across long"), "chosen")
-    sets = whole_sets(chosen.select("class").distinct(), docs, first_doc, width)
-    meeting = chosen.join(sets, "class").select(*five, "set")
+    five, schema = ["group", "class", "n", "own", "across"], "group long, class long, n long, own long, across long"
+    chosen = written(by_group(grouped(lists), possible, five, schema), "possible")
+    tokens = lists.groupBy("class").agg(F.collect_list("token").alias("tokens"))
+    chosen = written(by_group(chosen.join(tokens, "class").select(*five, "tokens"), able, five, schema), "chosen")
+    meeting = with_sets(chosen.join(first_doc, "class"), docs, width).select(*five, "set")
     edges = by_group(meeting, links, ["group", "u", "v"], "group long, u long, v long").select("u", "v")
     if light:
         edges = edges.union(light_edges(survey.where("token is not null and class is not null"), light))
