@@ -142,7 +142,7 @@ def encode_words(words: Iterable[str], r: Ranks, cells: int = 1 << 18) -> dict[s
 class Encoder:
     """Ids of texts, as bytes of little-endian unsigned 32-bit numbers."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 700_000):
+    def __init__(self, path: str, pattern: str, limit: int = 400_000):
         self.r, self.split, self.limit = ranks(path), regex.compile(pattern).findall, limit
         #: By chunk, as chunks() gives them, and by match of the pattern.
         self.known: dict[str, bytes] = {}
