@@ -74,11 +74,10 @@ def test_quality_measures(spark):
 
 
 def test_quality_filter_keeps_prose(spark):
-    prose = "the river of time is in a valley that leads to the sea and on to the hills beyond it " * 1
-    docs = [" ".join(f"{w}{i}" if k % 3 else w for k, w in enumerate(prose.split() * 8)) for i in range(30)] + ["#%$ " * 150]
+    prose = "the river of time is in a valley that leads to the sea and on to the hills beyond it "
+    docs = [" ".join(f"{w}{k * 7 + i * 131}" if k % 3 else w for k, w in enumerate(prose.split() * 8)) for i in range(30)] + ["#%$ " * 150]
     got = quality.good(table(spark, docs).withColumn("kept", F.lit(1)))
-    assert {r.doc_id for r in got.collect()} >= set(range(30)) - {30}
-    assert 30 not in {r.doc_id for r in got.collect()}
+    assert {r.doc_id for r in got.collect()} == set(range(30))
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "kept"]
 
 
