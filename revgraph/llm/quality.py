@@ -11,11 +11,11 @@ rows give repeated results; an empty table gives an empty one; other columns go
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revgraph.llm.common import written
+
 # The most common words of each language.
 COMMON_WORDS = {
     "en": ["the", "of", "and", "to", "in", "a", "is", "that"],
@@ -60,18 +60,22 @@ def with_words(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n_dup_lines", F.size("lines") - F.size(F.array_distinct("lines"))).drop("words", "three", "places", "starts", "lines")
 
 
-def references(docs: DataFrame, min_words: int) -> list[tuple[str, list[float], list[float]]]:
-    """Language, share of each character class and of each common word; a row for each language of COMMON_WORDS at most."""
+def histograms(docs: DataFrame) -> DataFrame:
+    """lang, n_words, chars and common of documents; words are counted by the gaps between them, for which one more or less doesn't matter."""
     rows = with_histograms(docs.where(F.col("lang").isin(*COMMON_WORDS)).select("lang", "text"))
-    # Words are counted by the gaps between them: here a word more or less doesn't matter.
-    rows = rows.withColumn("total", F.size(F.split("rest0", f"{SPACE}+"))).where(F.col("total") >= min_words)
+    return rows.select("lang", F.size(F.split("rest0", f"{SPACE}+")).alias("n_words"), "chars", "common")
+
+
+def references(rows: DataFrame, min_words: int) -> list[tuple[str, list[float], list[float]]]:
+    """Language, share of each character class and of each common word, from lang, n_words, chars and common; a row for each language of COMMON_WORDS at most."""
+    rows = rows.where(F.col("lang").isin(*COMMON_WORDS) & (F.col("n_words") >= min_words))
     sums = rows.groupBy("lang").agg(
-        F.array(*(F.sum(F.get("chars", F.lit(k))) for k in range(len(CLASSES) + 1))).alias("chars"), F.array(*(F.sum(F.get("common", F.lit(k))) for k in range(len(WORD_LIST)))).alias("common"), F.sum("total").alias("total")
+        F.array(*(F.sum(F.get("chars", F.lit(k))) for k in range(len(CLASSES) + 1))).alias("chars"), F.array(*(F.sum(F.get("common", F.lit(k))) for k in range(len(WORD_LIST)))).alias("common"), F.sum("n_words").alias("total")
     )
     out = []
     for r in sorted(sums.collect(), key=lambda r: r.lang):
         all_chars = sum(r.chars)
-        out.append((r.lang, [x / all_chars for x in r.chars], [x / r.total for x in r.common] + [1 - sum(r.common) / r.total]))
+        out.append((r.lang, [x / all_chars for x in r.chars], [x / r.total for x in r.common] + [max(0.0, 1 - sum(r.common) / r.total)]))
     return out
 
 
@@ -85,10 +89,14 @@ def distance(counts: Column, total: Column, shares: list[float]) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
-def measured(docs: DataFrame, min_words: int = 100, most_chars: float = 0.25, most_words: float = 0.40) -> DataFrame:
-    """row (the whole input row) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept."""
-    known = references(docs, min_words)
+def features(docs: DataFrame) -> DataFrame:
+    """row (the whole input row) with the base measures and the histograms."""
     rows = with_words(with_histograms(docs.select(F.struct("*").alias("row"), F.col("text"))))
+    return rows.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "common")
+
+
+def judged(rows: DataFrame, known: list[tuple[str, list[float], list[float]]], min_words: int, most_chars: float = 0.25, most_words: float = 0.40) -> DataFrame:
+    """row with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance, from features()."""
     total = F.aggregate("chars", F.lit(0), lambda a, x: a + x)
     rest = F.greatest(F.col("n_words") - F.aggregate("common", F.lit(0), lambda a, x: a + x), F.lit(0))
     rows = rows.withColumns({"total": F.greatest(total, F.lit(1)), "common": F.array_append("common", rest)})
@@ -96,7 +104,7 @@ def measured(docs: DataFrame, min_words: int = 100, most_chars: float = 0.25, mo
     none = F.lit(None).cast("double")
     chars = [distance(F.col("chars"), F.col("total"), c) for _, c, _ in known]
     words = [distance(F.col("common"), F.col("total_words"), w) for _, _, w in known]
-    near = lambda x: reduce(F.least, x) if x else none
+    near = lambda x: F.least(*x) if len(x) > 1 else x[0] if x else none
     rows = rows.withColumns({
         "char_distance": near(chars),
         "word_distance": near(words),
@@ -108,13 +116,16 @@ def measured(docs: DataFrame, min_words: int = 100, most_chars: float = 0.25, mo
     return rows.select("row", *counts, "base_failed", "kept", "char_distance", "word_distance")
 
 
-def rules(docs: DataFrame) -> DataFrame:
-    """doc_id with all measures and the verdict."""
-    out = measured(docs.select("doc_id", "text", "lang"))
+def rules(docs: DataFrame, min_words: int = 100) -> DataFrame:
+    """doc_id with all measures and the verdict. The texts are read once: what the references need of them is kept in a table of counts."""
+    counted = features(docs.select("doc_id", "lang", "text")).select(F.struct("row.doc_id", "row.lang").alias("row"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "common")
+    counted = written(counted, "features")
+    out = judged(counted, references(counted.select("row.lang", "n_words", "chars", "common"), min_words), min_words)
     return out.select("row.doc_id", *(c for c in out.columns if c != "row"))
 
 
-def good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their columns."""
+def good(docs: DataFrame, min_words: int = 100) -> DataFrame:
+    """The documents that the rules keep, with their columns. Read twice, first for the references, so that whole texts aren't shuffled or kept."""
+    out = judged(features(docs), references(histograms(docs), min_words), min_words)
     # A filter would be pushed below the measures, and compute them once more for each use.
-    return measured(docs).select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")
+    return out.select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")
