@@ -35,6 +35,8 @@ CLOSES = {
     **dict.fromkeys(("thead", "tbody", "tfoot"), ({"thead", "tbody", "tfoot", "tr", "td", "th", "p", "caption"}, {"table"})),
     "body": ({"head", "title"}, set()),
 }
+# What may stand in head; anything else, text included, ends it.
+IN_HEAD = frozenset("title meta link base script style template noscript noframes".split())
 HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 DEEPEST = 200
 
@@ -65,6 +67,8 @@ class Tree(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "html":
             return
+        if self.open[-1].tag == "head" and tag not in IN_HEAD:
+            self.open.pop()
         closed, bounds = CLOSES.get(tag, (set(), set()))
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag in bounds:
@@ -92,6 +96,8 @@ class Tree(HTMLParser):
             self.open[-1].children.append(Node(tag, {}))  # ends one that wasn't opened: a break is left of it
 
     def handle_data(self, data: str) -> None:
+        if self.open[-1].tag == "head" and data.strip(" \t\r\n\f"):
+            self.open.pop()
         self.open[-1].children.append(data)
 
 

@@ -110,6 +110,20 @@ def test_rendering_emits_all_visible_text(spark):
     assert got[1].text == ""
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>T</title><p>Hello <p>you", "Hello\n\nyou"),
+        ("<head><meta charset=utf-8><script>s</script> \n plain <b>text</b>", "plain text"),
+        ("<head><style>s</style><div>a</div><link rel=x><table><tr><td>b</table>", "a\n\nb"),
+        ("<head><noscript><img alt=n></noscript><noframes>f</noframes><h1>c</h1></head><body>d", "c\n\nd"),
+        ("<head><title>T</title></head>e", "e"),
+    ],
+)
+def test_open_head_ends_at_content(page, text):
+    assert html.visible_text(page) == text
+
+
 def test_license_scan_against_brute_force(spark):
     notice = licenses.TEMPLATES[2][1]
     part = " ".join(notice.split()[: int(len(notice.split()) * 0.6)])
