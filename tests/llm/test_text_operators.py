@@ -152,6 +152,29 @@ def test_grammar():
     assert g.score("they said idiot") < g.score("an idiot")
 
 
+def test_clauses_score_by_patterns():
+    g = toxicity.Grammar({"idiot": 1.0, "dim": 0.6, "murder": 1.0})
+    for threat in ["I will hurt you", "ich werde dich töten", "te voy a matar", "je vais te tuer", "you will die", "you'll die", "they are going to murder him"]:
+        assert g.score(threat) >= 0.7, threat
+    for harmless in ["it will hurt", "you hurt", "you will kill it", "i will hurt. you", "er will die Karte", "du wirst die Karte"]:
+        assert g.score(harmless) == 0, harmless
+    for weak in ["I will not hurt you", "he said i will hurt you", "not idiot you", "said idiot you", '"idiot" you', "he claimed you idiot"]:
+        assert 0 < g.score(weak) < 0.7, weak
+    assert g.score("dim") == g.score("dim. you") == g.score("dim. dim") == 0
+    assert all(g.score(x) >= 0.7 for x in ("you dim", "dim you", "what a dim", "dim and dim", "murder"))
+
+
+def test_machines_compose():
+    table = toxicity.Composed(4)
+    for symbols in ("mhyn.iIoqri", "qIqyIt", "aicmhz", "ymxnioi"):
+        states, state = [("", 0), (3, False), 4, (False, False), (5, ())], 0
+        for symbol in symbols:
+            state, out = table[state, symbol]
+            for k, machine in enumerate(toxicity.MACHINES):
+                states[k], symbol = machine(states[k], symbol, 4)
+            assert (tuple(states), symbol) == (table.states[state], out)
+
+
 def test_learning_and_held_out_accuracy(spark):
     rows = [(i, "good day to all " * 5 + ("you fool x" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)] + [(1000, None, 0), (1001, "", 0)]
     docs = spark.createDataFrame([(i, x) for i, x, _ in rows], "doc_id long, text string")
