@@ -3,7 +3,8 @@
 Base kinds are three patterns (assign, access, hex). The method adds `entropy`: in runs of key-like characters a window slides over the run; as it moves, the
 counts of the entering and the leaving character change, and the sum of c log2 c over the window's counts, from which its Shannon entropy follows, is
 corrected by just those two. Each run belongs to a character class (hexadecimal, letters and digits, base64 marks) with a threshold of its own. The span covers all windows
-that reach it. An allow-list (ordinary words, identifiers of the usual shape, placeholders) suppresses runs, and runs that touch a base span are reported already.
+that reach it. Base spans, which are reported already, identifiers of the usual shape and parts (between / = _ and -) with a placeholder are cut out of a run; each piece that is left
+is scanned for itself, unless an allow-list (ordinary words, nothing but letters or digits) suppresses it.
 
 Positions are code points, ends exclusive. Nulls: a null text is empty and has no span. Rows are independent; repeated rows give repeated results; an empty table gives an
 empty one; other columns go along untouched, whatever their names.
@@ -22,13 +23,15 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 #: A run of key-like characters.
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
-# Runs that are no secrets: no digit or no letter; the usual shape of an identifier; placeholders and examples.
-ALLOWED = [r"^[^0-9]*$", r"^[^A-Za-z]*$", r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$", r"(?i)example|placeholder|changeme|dummy|sample|xxxx|0123456789|abcdefgh", r"^[/_-]*([A-Za-z]{2,}[/_=-]+)+[0-9]{0,4}$"]
+# What is cut out of runs (identifiers of the usual shape; parts with placeholders and examples), and pieces that are no secrets: no digit or no letter; words.
+CUT = r"(?<![A-Za-z0-9])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![A-Za-z0-9])|(?<![A-Za-z0-9+])[A-Za-z0-9+]*(?i:example|placeholder|changeme|dummy|sample|xxxx|0123456789|abcdefgh)[A-Za-z0-9+]*"
+ALLOWED = [r"^[^0-9]*$", r"^[^A-Za-z]*$", r"^[/_=-]*([A-Za-z]{2,}[/_=-]+)+[0-9]{0,4}$"]
 WINDOW = 20
 #: Pattern of the class and least entropy (bits) of a window.
 CHARACTER_CLASSES = [("^[0-9a-fA-F]+$", 3.0), ("^[A-Za-z0-9]+$", 3.55), ("", 3.65)]
 
 SPANS = "array<struct<start:int,kind:int,end:int>>"
+PIECES = "array<struct<start:int,end:int>>"
 KINDS = ["assign", "access", "hex", "entropy"]
 
 
@@ -77,15 +80,28 @@ def entropy_span(run: Column) -> Column:
     return F.when(seen["first"] >= 0, seen)
 
 
+def pieces(run: Column, out: Column) -> Column:
+    """What is left of a run without the spans of out, which are in order."""
+    inside = F.filter(out, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    start = F.struct(run["start"].alias("at"), F.array().cast(PIECES).alias("done"))
+
+    def step(a: Column, b: Column) -> Column:
+        piece = F.struct(a["at"].alias("start"), b["start"].alias("end"))
+        return F.struct(F.greatest(a["at"], b["end"]).alias("at"), F.when(b["start"] > a["at"], F.array_append(a["done"], piece)).otherwise(a["done"]).alias("done"))
+
+    return F.aggregate(inside, start, step, lambda a: F.array_append(a["done"], F.struct(a["at"].alias("start"), run["end"].alias("end"))))
+
+
 def scanned(docs: DataFrame) -> DataFrame:
     """row (the whole input row), base and spans, arrays of (start, kind, end) in order."""
     rows = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("body"))
     body = F.col("body")
     rows = rows.withColumn("base", F.array_sort(F.concat(matches(body, ASSIGN, 0, 2, 8), matches(body, ACCESS, 1), matches(body, HEX, 2))))
     rows = rows.withColumn("runs", matches(body, RUN, 3))
-    # Each run that isn't allowed and touches no base span, with its text.
-    free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    cut = F.transform(free, lambda r: F.struct(r["start"].alias("start"), F.substring(F.col("body"), r["start"] + 1, r["end"] - r["start"]).alias("run")))
+    # What is left of each run without the base spans and what CUT finds, with its text.
+    rows = rows.withColumn("out", F.when(F.size("runs") > 0, F.array_sort(F.concat("base", matches(body, CUT, 4)))))
+    left = F.filter(F.flatten(F.transform("runs", lambda r: pieces(r, F.col("out")))), lambda r: r["end"] - r["start"] >= WINDOW)
+    cut = F.transform(left, lambda r: F.struct(r["start"].alias("start"), F.substring(F.col("body"), r["start"] + 1, r["end"] - r["start"]).alias("run")))
     rows = rows.withColumn("cut", F.when(F.size("runs") > 0, F.filter(cut, lambda r: ~r["run"].rlike("|".join(f"(?:{p})" for p in ALLOWED)))))
     found = F.transform("cut", lambda r: F.struct(r["start"].alias("start"), entropy_span(r["run"]).alias("seen")))
     high = F.transform(F.filter(found, lambda r: r["seen"].isNotNull()), lambda r: F.struct((r["start"] + r["seen"]["first"]).alias("start"), F.lit(3).alias("kind"), (r["start"] + r["seen"]["last"]).alias("end")))
