@@ -75,8 +75,8 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, centroids: int = 32,
     """query_id, rank, vec_id, score of the k nearest that each query (vec_id divisible by `every`) finds."""
     spark = vectors.sparkSession
     all_vectors = usable(vectors)
-    # Of equal vectors the smallest ids suffice: a query may be one of them.
-    smallest = all_vectors.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
+    # Of equal vectors the smallest ids suffice: a query may be one of them. Repeated rows go first, so that ids are ranked, not rows.
+    smallest = all_vectors.distinct().withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     entries = smallest.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
     train = np.array([r.v for r in entries.orderBy(F.xxhash64("v")).limit(sample).select("v").collect()], float)  # bounded by sample
     if not len(train):

@@ -208,6 +208,13 @@ def test_neighbours(spark):
     assert neighbours.search(vectors.limit(0)).count() == 0
 
 
+def test_repeated_rows_hide_no_neighbours(spark):
+    rows = [(3, [1.0, 0.0, 0.0, 1.0])] * 9 + [(i, [1.0, 0.0, 0.0, 1.0]) for i in (0, 7, 9, 11, 12, 13, 14)] + [(20, [0.0, 1.0, 0.0, 0.0])]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(0, k + 1, v) for k, v in enumerate((3, 7, 9, 11, 12))]
+    assert all(abs(r.score - 1) < 1e-12 for r in got)
+
+
 def test_cells_come_by_distance():
     rng = np.random.default_rng(3)
     a, b = rng.random(7), rng.random(5)
