@@ -1,17 +1,19 @@
 """Operator 5: HTML extraction by layout-aware rendering.
 
 A tree builder reads the tags, adds the end tags that HTML lets authors leave out, and closes what an end tag encloses. Rendering walks the tree: what isn't displayed
-(by element, hidden attribute or inline style) is left out; all other text is emitted, with white space collapsed as browsers do; blocks stand on lines of
+(by element, hidden attribute or inline style) is left out, while what is only kept from screen readers, text areas and all options of a select are displayed; all other text is emitted, with white space collapsed as browsers do; blocks stand on lines of
 their own, paragraphs and headings a blank line apart; list items have a mark or number and are indented below it; table cells are padded to their column's width.
 
 Nulls: null or empty html gives the empty text. Rows are independent; repeated rows give repeated results; an empty table gives an empty one; broken markup is
-read as far as it goes and never fails; columns besides the named ones are ignored.
+read as far as it goes, to any depth; columns besides the named ones are ignored. Indentation grows with the depth of lists, so n lists within each other give text of size n * n.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Generator, Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -20,9 +22,11 @@ from pyspark.sql import functions as F
 
 # Fixed values of the HTML standard: elements without content, elements that aren't displayed, blocks, and blocks with a blank line around them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head title script style template noscript iframe object svg canvas audio video datalist select option meta link base textarea".split())
+UNSEEN = frozenset("head title script style template noscript iframe object svg canvas audio video datalist meta link base".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form header hgroup html legend li main menu nav ol section summary table tr ul caption thead tbody tfoot".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote ul ol table hr dl".split())
+# Parts of forms that stand on lines of their own without closing a paragraph.
+FIELDS = frozenset("select option optgroup textarea".split())
 # What an opening tag closes, up to the element that bounds the search.
 CLOSES = {
     **dict.fromkeys(BLOCKS | APART - {"html", "body"}, ({"p"}, {"button", "td", "th", "table", "li", "div"})),
@@ -33,12 +37,13 @@ CLOSES = {
     "td": ({"td", "th", "p"}, {"tr", "table"}),
     "th": ({"td", "th", "p"}, {"tr", "table"}),
     **dict.fromkeys(("thead", "tbody", "tfoot"), ({"thead", "tbody", "tfoot", "tr", "td", "th", "p", "caption"}, {"table"})),
+    "option": ({"option"}, {"select", "datalist", "optgroup"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head", "title"}, set()),
 }
 # What may stand in head; anything else, text included, ends it.
 IN_HEAD = frozenset("title meta link base script style template noscript noframes".split())
 HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-DEEPEST = 200
 
 
 class Node:
@@ -51,61 +56,78 @@ class Node:
     @property
     def shown(self) -> bool:
         a = self.attributes
-        return self.tag not in UNSEEN and "hidden" not in a and a.get("aria-hidden") != "true" and not HIDDEN.search(a.get("style") or "")
+        return self.tag not in UNSEEN and "hidden" not in a and not HIDDEN.search(a.get("style") or "")
 
 
 class Tree(HTMLParser):
-    """Elements beyond a depth of DEEPEST are put into their ancestor there: text stays, only indentation is lost."""
+    """The tree of a page. where: for each tag the positions of its open elements, so that none is searched for."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        self.where: dict[str, list[int]] = {}
         self.feed(html)
+        if self.cdata_elem == "textarea":  # never closed
+            self.handle_data(self.rawdata)
+            self.rawdata = ""
         self.close()
 
+    def cut(self, k: int) -> None:
+        """Closes the open elements from position k on."""
+        for node in self.open[k:]:
+            self.where[node.tag].pop()
+        del self.open[k:]
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "html":
             return
         if self.open[-1].tag == "head" and tag not in IN_HEAD:
-            self.open.pop()
-        closed, bounds = CLOSES.get(tag, (set(), set()))
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in bounds:
-                break
-            if self.open[k].tag in closed:
-                del self.open[k:]
+            self.cut(len(self.open) - 1)
+        closed, bounds = CLOSES.get(tag, ((), ()))
+        bound = max((w[-1] for t in bounds if (w := self.where.get(t))), default=0)
+        self.cut(min((w[bisect_right(w, bound)] for t in closed if (w := self.where.get(t)) and w[-1] > bound), default=len(self.open)))
         if tag == "body" and self.open[-1].tag != "html":
-            del self.open[1:]
+            self.cut(1)
         node = Node(tag, dict(attrs))
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < DEEPEST:
+        if tag not in VOID:
+            self.where.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
+        if tag == "textarea":
+            self.set_cdata_mode(tag)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
-            if tag not in BLOCKS and self.open[k].tag in ("td", "th", "table"):
-                return
-        if len(self.open) >= DEEPEST and tag in BLOCKS:
-            self.open[-1].children.append(Node(tag, {}))  # ends one that wasn't opened: a break is left of it
+        if at := self.where.get(tag):
+            if tag in BLOCKS or all(w[-1] <= at[-1] for t in ("td", "th", "table") if (w := self.where.get(t))):
+                self.cut(at[-1])
 
     def handle_data(self, data: str) -> None:
         if self.open[-1].tag == "head" and data.strip(" \t\r\n\f"):
-            self.open.pop()
-        self.open[-1].children.append(data)
+            self.cut(len(self.open) - 1)
+        self.open[-1].children.append(unescape(data) if self.cdata_elem == "textarea" else data)
+
+
+#: A finished line: text, or a prefix and the line that it stands before.
+Line = str | tuple
+
+
+def plain(line: Line) -> str:
+    parts = []
+    while isinstance(line, tuple):
+        parts.append(line[0])
+        line = line[1]
+    return "".join(parts) + line
 
 
 class Lines:
     """Lines of text under construction. glue: a space is due before the next word; gap: blank lines due before the next line."""
 
     def __init__(self) -> None:
-        self.done: list[str] = []
+        self.done: list[Line] = []
         self.now, self.glue, self.gap = "", False, 0
 
     def text(self, data: str) -> None:
@@ -121,92 +143,119 @@ class Lines:
             self.gap = 0
         self.now, self.glue, self.gap = "", False, max(self.gap, blank)
 
-    def take(self, lines: list[str], first: str = "", then: str = "") -> None:
+    def take(self, lines: list[Line], first: str = "", then: str = "") -> None:
         """Finished lines of a part, with a prefix for the first and for the others."""
+        self.end()
         for k, line in enumerate(lines):
-            self.now = ((first if k == 0 else then) + line) if line else ""
             if line:
-                self.end()
+                prefix = first if k == 0 else then
+                self.done += [""] * (self.gap if self.done else 0) + [(prefix, line) if prefix else line]
+                self.gap = 0
             else:
                 self.gap = max(self.gap, 1)
 
 
-def table_lines(table: Node) -> list[str]:
-    rows: list[list[str]] = []
-    out = Lines()
+#: Yields parts that are to be rendered and is sent their lines.
+Rendering = Generator["Rendering", list[Line], list[Line]]
 
-    def walk(node: Node) -> None:
-        for child in node.children:
-            if isinstance(child, str) or not child.shown:
-                if isinstance(child, str):
-                    out.text(child)
-            elif child.tag == "tr":
-                rows.append([" ".join(x for x in rendered(c) if x) for c in child.children if isinstance(c, Node) and c.shown and c.tag in ("td", "th")])
-                for c in child.children:
-                    if isinstance(c, str):
-                        out.text(c)
-                    elif c.tag not in ("td", "th") and c.shown:
-                        out.take(rendered(c))
-            elif child.tag in ("thead", "tbody", "tfoot", "colgroup"):
-                walk(child)
-            else:
-                out.end()
-                out.take(rendered(child))
 
-    walk(table)
+def run(job: Rendering) -> list[Line]:
+    """The lines of a part. Parts within parts are a list here, not recursion, so depth has no bound."""
+    jobs, lines = [job], None
+    while jobs:
+        try:
+            jobs.append(jobs[-1].send(lines))
+            lines = None
+        except StopIteration as end:
+            jobs.pop()
+            lines = end.value
+    return lines
+
+
+def table_lines(table: Node) -> Rendering:
+    rows: list[list[str]] = []
+    out = Lines()
+    stack = [iter(table.children)]
+    while stack:
+        child = next(stack[-1], None)
+        if child is None:
+            stack.pop()
+        elif isinstance(child, str):
+            out.text(child)
+        elif not child.shown:
+            continue
+        elif child.tag == "tr":
+            rows.append(row := [])
+            for c in child.children:
+                if isinstance(c, str):
+                    out.text(c)
+                elif c.shown and c.tag in ("td", "th"):
+                    row.append(" ".join(plain(x) for x in (yield rendered(c)) if x))
+                elif c.shown:
+                    out.take((yield rendered(c)))
+        elif child.tag in ("thead", "tbody", "tfoot", "colgroup"):
+            stack.append(iter(child.children))
+        else:
+            out.end()
+            out.take((yield rendered(child)))
     out.end()
     widths = [max(len(r[k]) for r in rows if k < len(r)) for k in range(max(map(len, rows), default=0))]
     return out.done + [line for r in rows if (line := "  ".join(x.ljust(w) for x, w in zip(r, widths, strict=False)).rstrip())]
 
 
-def rendered(node: Node) -> list[str]:
+def rendered(node: Node) -> Rendering:
     """The lines of an element."""
     out = Lines()
-
-    def walk(node: Node, pre: bool) -> None:
-        number = 0
-        for child in node.children:
-            if isinstance(child, str):
-                if pre:
-                    for k, line in enumerate(child.split("\n")):
-                        if k:
-                            out.end()
-                        out.now += line
-                else:
-                    out.text(child)
-                continue
-            if not child.shown:
-                continue
-            tag, blank = child.tag, int(child.tag in APART)
-            if tag == "br":
-                out.end()
-            elif tag == "img":
-                out.text(f" {child.attributes.get('alt') or ''} ")
-            elif tag in BLOCKS or tag in APART:
-                out.end(blank)
-                if tag == "table":
-                    out.take(table_lines(child))
-                elif tag == "li":
-                    number += 1
-                    mark = f"{number}. " if node.tag == "ol" else "- "
-                    out.take(rendered(child), mark, " " * len(mark))
-                elif tag == "blockquote":
-                    out.take(rendered(child), "> ", "> ")
-                else:
-                    walk(child, pre or tag == "pre")
-                out.end(blank)
+    # Open elements: tag, children to come, whether preformatted, list items so far, blank lines after it (None: no block).
+    stack: list[list] = [[node.tag, iter(node.children), node.tag == "textarea", 0, None]]
+    while stack:
+        parent = stack[-1]
+        child, pre = next(parent[1], None), parent[2]
+        if child is None:
+            stack.pop()
+            if parent[4] is not None:
+                out.end(parent[4])
+            continue
+        if isinstance(child, str):
+            if pre:
+                for k, line in enumerate(child.split("\n")):
+                    if k:
+                        out.end()
+                    out.now += line
             else:
-                if tag in ("td", "th"):
-                    out.glue = True
-                walk(child, pre)
-
-    walk(node, False)
+                out.text(child)
+            continue
+        if not child.shown:
+            continue
+        tag, blank = child.tag, int(child.tag in APART)
+        if tag == "br":
+            out.end()
+        elif tag == "img":
+            out.text(f" {child.attributes.get('alt') or ''} ")
+        elif tag in ("table", "li", "blockquote"):
+            out.end(blank)
+            if tag == "table":
+                out.take((yield table_lines(child)))
+            elif tag == "li":
+                parent[3] += 1
+                mark = f"{parent[3]}. " if parent[0] == "ol" else "- "
+                out.take((yield rendered(child)), mark, " " * len(mark))
+            else:
+                out.take((yield rendered(child)), "> ", "> ")
+            out.end(blank)
+        elif tag in BLOCKS or tag in APART or tag in FIELDS:
+            out.end(blank)
+            stack.append([tag, iter(child.children), pre or tag in ("pre", "textarea"), 0, blank])
+        else:
+            if tag in ("td", "th"):
+                out.glue = True
+            stack.append([tag, iter(child.children), pre, 0, None])
     out.end()
     return out.done
 
 
 def visible_text(html: str | None) -> str:
-    return "\n".join(rendered(Tree(html).root)) if html else ""
+    return "\n".join(map(plain, run(rendered(Tree(html).root)))) if html else ""
 
 
 def extract(pages: DataFrame, id_column: str = "page_id") -> DataFrame:

@@ -137,6 +137,28 @@ def test_open_head_ends_at_content(page, text):
     assert html.visible_text(page) == text
 
 
+@pytest.mark.parametrize("deep", ["<font>", "<div><b>", "<blockquote>", "<table><tr><td>"])
+def test_depth_changes_nothing(deep):
+    part = "<div hidden>x<div>y</div>z</div><p>a<script>s</script><style>s</style><ul><li>b<li>c</ul><pre>d\n e</pre><table><tr><td>f<td>g</table>"
+    flat = html.visible_text(part)
+    assert flat == "a\n\n- b\n- c\n\nd\n e\n\nf  g"
+    got = html.visible_text(deep * 3000 + part)
+    if "table" in deep:
+        assert got.split() == "a - b - c d e f g".split()
+    else:
+        assert [x.lstrip("> ") for x in got.split("\n")] == [x.lstrip() for x in flat.split("\n")]
+
+
+def test_very_deep_markup_ends():
+    assert html.visible_text("<b>" * 200_000 + "a" + "<p>" * 20_000 + "b") == "a\n\nb"
+    assert html.visible_text("<ul><li>" * 1500 + "a").strip("- ") == "a"
+
+
+def test_fields_and_what_screen_readers_skip_are_visible():
+    assert html.visible_text("<p aria-hidden=true>a</p><textarea> <b>&amp;\n c</textarea><select><option>d<option hidden>x<option>e</select>f") == "a\n\n <b>&\n c\nd\ne\nf"
+    assert html.visible_text("a<textarea>b <i>") == "a\nb <i>"
+
+
 def test_license_scan_against_brute_force(spark):
     notice = licenses.TEMPLATES[2][1]
     part = " ".join(notice.split()[: int(len(notice.split()) * 0.6)])
