@@ -154,8 +154,8 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
 
 
 def test_blocks_of_a_large_group(spark):
-    rows = [(t, c, 40) for t in range(30) for c in range(50)]
-    lists = spark.createDataFrame(rows, "token long, class long, n int")
+    rows = [(0, c, 40, t) for t in range(30) for c in range(50)]
+    lists = spark.createDataFrame(rows, "hub long, class long, n int, key long")
     met = set()
     for _, g in jaccard.grouped(lists, block=8).toPandas().groupby("group"):
         met |= {(a, b) for a, b in itertools.combinations(sorted(g["class"]), 2)}
