@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 
 import pytest
@@ -60,6 +61,22 @@ def test_runs_are_scanned_beside_what_is_cut_out(spark):
     assert all("entropy" not in r.spans for r in secrets.secrets(table(spark, quiet)).collect())
 
 
+def test_long_runs_take_linear_work_and_counts_stay_exact(spark):
+    """Entropy of every window of long runs by plain counting, and many matches in one text."""
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+    runs = ["q7+" + "".join(rng.choices(letters[: rng.randint(9, 67)], k=rng.choice([20, 40, 300]))) for _ in range(40)] + ["a1+" + "".join(rng.choices(letters[:62], k=60_000))]
+    docs = table(spark, [f"x {r} y" for r in runs] + [" ".join("0123456789abcdef0123456789abcdef" for _ in range(5000))])
+    got = {r.doc_id: r for r in secrets.secrets(docs).collect()}
+    for i, run in enumerate(runs):
+        spans = []
+        for part in re.finditer(r"[\s\S]+", run if not re.search(secrets.CUT.split("|", 1)[1], run) else ""):
+            high = [k for k in range(len(run) - 19) if 1e-9 + math.log2(20) - sum(c * math.log2(c) for c in collections.Counter(run[k : k + 20]).values()) / 20 >= 3.65]
+            spans = [f"entropy:{2 + part.start() + high[0]}:{2 + part.start() + high[-1] + 20}"] if high else []
+            assert got[i].spans == ",".join(spans), run[:50]
+    assert got[41].n_hex == 5000 and got[41].spans.endswith("hex:164967:164999")
+
+
 def test_redaction_keeps_other_columns(spark):
     docs = table(spark, ['a token = "deadbeef0123" b', "clean", None]).withColumn("row", F.lit(7)).withColumn("spans", F.lit("s"))
     got = {r.doc_id: r for r in secrets.redacted(docs).collect()}
