@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revgraph.llm.bpe import Encoder, encoder
+from revgraph.llm.common import written
 
 Emit = Callable[[Encoder, list[bytes]], dict[str, list]]
 
@@ -66,31 +67,37 @@ def lengths(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def length_table(lens: DataFrame, block: int = 1024) -> DataFrame:
-    """One row for each encoded length that occurs, taken as a context limit.
+    """One row for each encoded length that occurs, and for 0, taken as a context limit; what for_limits() makes of them holds for any limit.
 
-    docs: documents of that length; docs_from, tokens_from: documents of at least that length and their tokens;
+    until: the next greater length, null after the last; docs: documents of that length; docs_from, tokens_from: documents of at least that length and their tokens;
     truncated_tokens: tokens left if each document is cut to that length; docs_cut: documents longer than it; share_to:
-    share of documents no longer than it, from which every quantile can be read; docs_total, tokens_total.
+    share of documents no longer than it, from which every quantile can be read; docs_total, tokens_total. No documents give no row.
 
-    The suffix sums have two levels: within blocks of lengths, in parallel, and over the totals of blocks, of which there
-    are as many as the longest length has blocks.
+    Documents are encoded once: the counts are written. The suffix sums have two levels: within blocks of lengths, in parallel, and over the totals of blocks, of which
+    there are as many as the longest length has blocks.
     """
-    counts = lens.groupBy("n_tokens").agg(F.count("*").alias("docs")).withColumn("block", F.floor(F.col("n_tokens") / block))
-    totals = counts.groupBy("block").agg(F.sum("docs").alias("d"), F.sum(F.col("docs") * F.col("n_tokens")).alias("t"))
-    after = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    spark = lens.sparkSession
+    none = spark.range(1).select(F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("docs"))
+    counts = written(lens.where("n_tokens is not null").groupBy("n_tokens").agg(F.count("*").alias("docs")).unionByName(none), "lengths")
+    counts = counts.groupBy("n_tokens").agg(F.sum("docs").alias("docs")).withColumn("block", F.floor(F.col("n_tokens") / block))
+    totals = counts.groupBy("block").agg(F.sum("docs").alias("d"), F.sum(F.col("docs") * F.col("n_tokens")).alias("t"), F.min("n_tokens").alias("first"))
+    down = Window.orderBy(F.col("block").desc())
+    after, whole = down.rowsBetween(Window.unboundedPreceding, -1), down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     totals = totals.select(
         "block",
         F.coalesce(F.sum("d").over(after), F.lit(0)).alias("d_after"),
         F.coalesce(F.sum("t").over(after), F.lit(0)).alias("t_after"),
+        F.lag("first").over(down).alias("next_block"),
         F.sum("d").over(whole).alias("docs_total"),
         F.sum("t").over(whole).alias("tokens_total"),
     )
-    inside = Window.partitionBy("block").orderBy(F.col("n_tokens").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    out = counts.select("*", F.sum("docs").over(inside).alias("d"), F.sum(F.col("docs") * F.col("n_tokens")).over(inside).alias("t")).join(totals, "block")
+    within = Window.partitionBy("block").orderBy(F.col("n_tokens").desc())
+    inside = within.rowsBetween(Window.unboundedPreceding, 0)
+    out = counts.select("*", F.sum("docs").over(inside).alias("d"), F.sum(F.col("docs") * F.col("n_tokens")).over(inside).alias("t"), F.lag("n_tokens").over(within).alias("next")).join(totals, "block").where("docs_total > 0")
     out = out.withColumns({"docs_from": F.col("d") + F.col("d_after"), "tokens_from": F.col("t") + F.col("t_after")})
     return out.select(
         "n_tokens",
+        F.coalesce("next", "next_block").alias("until"),
         "docs",
         "docs_from",
         "tokens_from",
@@ -100,3 +107,11 @@ def length_table(lens: DataFrame, block: int = 1024) -> DataFrame:
         "docs_total",
         "tokens_total",
     )
+
+
+def for_limits(lengths_of: DataFrame, limits: list[int]) -> DataFrame:
+    """context_limit, docs_cut, truncated_tokens, share_to for any limits of 0 or more: between two lengths that occur only the cut documents' tokens grow with the limit."""
+    of_row = F.filter(F.array(*(F.lit(x).cast("long") for x in sorted(set(limits)))), lambda x: (x >= F.col("n_tokens")) & (F.col("until").isNull() | (x < F.col("until"))))
+    rows = lengths_of.select(F.explode(of_row).alias("context_limit"), "*")
+    more = (F.col("context_limit") - F.col("n_tokens")) * F.col("docs_cut")
+    return rows.select("context_limit", "docs_cut", (F.col("truncated_tokens") + more).alias("truncated_tokens"), "share_to")
