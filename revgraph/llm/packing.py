@@ -7,12 +7,17 @@ finds the pattern that the present prices value most, until none is worth more t
 down, the few rests left are placed best-fit, and the ranks of a class are dealt to the patterns' slots in order. A rank is a
 piece's number in its task plus what earlier tasks have of its class, so no class passes through one task.
 
-Nulls: a null text is empty; the empty text has the end id alone. Repeated rows are packed as often as they occur; an empty
+Ids are those of the tokenizer file as its library gives them: a special token's string in a text is that token (special), and what stands between such strings is
+encoded for itself.
+
+Nulls: a null text is empty; the empty text has the end id alone; a null doc_id is packed like any other. Repeated rows are packed as often as they occur; an empty
 table gives no piece; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,13 +28,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revgraph.llm.bpe import encoder
+from revgraph.llm.bpe import Encoder, encoder
 from revgraph.llm.common import written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, class int, number long"
 
 
-def pieces(docs: DataFrame, path: str, pattern: str, end_id: int, size: int, unit: int) -> DataFrame:
+def special_tokens(path: str) -> dict[str, int]:
+    """Strings and ids of the special tokens of a tokenizer file in JSON."""
+    with open(path, encoding="utf-8") as file:
+        return {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+
+
+def encoded(e: Encoder, texts: list[str], special: dict[str, int]) -> Iterator[bytes]:
+    """Ids of each text, of which only those with a special token's string are cut first."""
+    cut = re.compile("|".join(f"({re.escape(x)})" for x in sorted(special, key=len, reverse=True))) if special else None
+    parts = [[x for x in cut.split(text) if x] if cut and cut.search(text) else [text] for text in texts]
+    ids = iter(e.encode([x for row in parts for x in row if x not in special]))
+    for row in parts:
+        yield b"".join(special[x].to_bytes(4, "little") if x in special else next(ids) for x in row)
+
+
+def pieces(docs: DataFrame, path: str, pattern: str, special: dict[str, int], end_id: int, size: int, unit: int) -> DataFrame:
     """Pieces with their checksum, the task they come from, class and number among the task's pieces of that class."""
     end = end_id.to_bytes(4, "little")
 
@@ -38,7 +58,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, end_id: int, size: int, uni
         for batch in batches:
             rows = []
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), e.encode(texts), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), encoded(e, texts, special), strict=True):
                 ids += end
                 n = len(ids) // 4
                 for start in range(0, n, size):
@@ -118,9 +138,9 @@ def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float =
     return [x for x in done if x[1]] + [(b, 1) for b in bins]
 
 
-def pack(docs: DataFrame, path: str, pattern: str, end_id: int = 1, size: int = 2048, unit: int = 8) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, special: dict[str, int] | None = None, end_id: int = 1, size: int = 2048, unit: int = 8) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens) with sequence_id and offset, gapless from 0, of sequences of at most `size` ids."""
-    cut = written(pieces(docs, path, pattern, end_id, size, unit), "pieces")
+    cut = written(pieces(docs, path, pattern, special or {}, end_id, size, unit), "pieces")
     counts = cut.groupBy("task", "class").agg((F.max("number") + 1).alias("n"))
     histogram = {c: n for c, n in counts.groupBy("class").agg(F.sum("n")).collect()}  # a row for each class at most
     capacity = size // unit

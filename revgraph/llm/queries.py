@@ -11,7 +11,8 @@ from revgraph.llm import html, jaccard, licenses, neighbours, packing, quality,
 from revgraph.llm.common import table
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: The ranks of byte_bpe_50k.json.
+SINGLE_JSON = public_tokenizers.path("byte_bpe_50k.json")
+#: Its ranks.
 SINGLE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
@@ -29,7 +30,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), SINGLE, PATTERN)
+    return packing.pack(table(spark, sf_dir, "documents"), SINGLE, PATTERN, packing.special_tokens(SINGLE_JSON))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from revgraph.llm import bpe, jaccard, neighbours, packing, quality, queries, secrets, tokens, toxicity
@@ -53,23 +54,36 @@ def test_digests(spark):
 def test_length_table(spark):
     rng = random.Random(1)
     lens = [rng.choice([0, 1, 5, 5, 1023, 1024, 3000, rng.randint(0, 5000)]) for _ in range(500)]
-    got = tokens.length_table(spark.createDataFrame([(i, n) for i, n in enumerate(lens)], "doc_id long, n_tokens long")).collect()
-    assert {r.n_tokens for r in got} == set(lens)
+    made = tokens.length_table(spark.createDataFrame([(i, n) for i, n in enumerate(lens)], "doc_id long, n_tokens long"))
+    got, known = made.collect(), sorted(set(lens))
+    assert [r.n_tokens for r in sorted(got)] == known
     for r in got:
         n = r.n_tokens
+        assert r.until == next((x for x in known if x > n), None)
         assert r.docs == lens.count(n)
         assert r.docs_from == sum(x >= n for x in lens)
         assert r.tokens_from == sum(x for x in lens if x >= n)
         assert r.truncated_tokens == sum(min(x, n) for x in lens)
         assert r.docs_cut == sum(x > n for x in lens)
         assert abs(r.share_to - sum(x <= n for x in lens) / 500) < 1e-12
+    limits = [0, 2, 6, 1000, 1022, 1023, 2047, 2048, 4999, 9999]
+    answers = {r.context_limit: r for r in tokens.for_limits(made, limits).collect()}
+    assert sorted(answers) == limits
+    for n, r in answers.items():
+        assert (r.docs_cut, r.truncated_tokens) == (sum(x > n for x in lens), sum(min(x, n) for x in lens))
+        assert abs(r.share_to - sum(x <= n for x in lens) / 500) < 1e-12
+    some = tokens.length_table(spark.createDataFrame([(1, 7), (1, 7)], "doc_id long, n_tokens long"))
+    assert [(r.context_limit, r.docs_cut, r.truncated_tokens) for r in tokens.for_limits(some, [3, 8]).orderBy("context_limit").collect()] == [(3, 2, 6), (8, 0, 14)]
+    docs = spark.createDataFrame([(1, "a b", 1), (2, None, 2)], "doc_id long, text string, n_tokens int")
+    assert {r.n_tokens for r in tokens.length_table(tokens.lengths(docs, queries.SINGLE, queries.PATTERN)).collect()} == {0, 2}
+    assert tokens.length_table(tokens.lengths(docs.limit(0), queries.SINGLE, queries.PATTERN)).count() == 0
 
 
 def check_packing(spark, texts):
-    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").repartition(3)
-    got = packing.pack(docs, queries.SINGLE, queries.PATTERN).toPandas()
-    known = encoding(queries.SINGLE)
-    ids = {i: np.array([*known.encode_ordinary(x or ""), 1], "<u4") for i, x in enumerate(texts)}
+    docs = spark.createDataFrame([(i, x, "p") for i, x in enumerate(texts)], "doc_id long, text string, class string").repartition(3)
+    got = packing.pack(docs, queries.SINGLE, queries.PATTERN, packing.special_tokens(queries.SINGLE_JSON)).toPandas()
+    known = Tokenizer.from_file(queries.SINGLE_JSON)
+    ids = {i: np.array([*known.encode(x or "", add_special_tokens=False).ids, 1], "<u4") for i, x in enumerate(texts)}
     taken = collections.Counter()
     for r in got.itertuples():
         assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
@@ -85,7 +99,7 @@ def check_packing(spark, texts):
 
 def test_packing(spark):
     rng = random.Random(2)
-    texts = [*ODD, "word " * 5000, *(" ".join(rng.choices(["alpha", "beta", "gamma"], k=rng.randint(0, 900))) for _ in range(300))]
+    texts = [*ODD, "a <|endoftext|>b<|endoftext|><|endoftext|> c <|endoftext|", "word " * 5000, *fuzz(200), *(" ".join(rng.choices(["alpha", "beta", "gamma"], k=rng.randint(0, 900))) for _ in range(300))]
     got = check_packing(spark, texts)
     assert got.length.sum() / (got.sequence_id.nunique() * 2048) > 0.95
     check_packing(spark, ["same text"] * 50)
