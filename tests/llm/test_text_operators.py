@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,6 +177,49 @@ def test_fields_and_what_screen_readers_skip_are_visible():
     assert html.visible_text("a<textarea>b <i>") == "a\nb <i>"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<![foo[bar]]>a", "a"),
+        ("a<!-- b <p>c", "a"),
+        ("a<!-->b<!--x-->c", "abc"),
+        ("a<!doctype html>b<?php x ?>c</>d</ x>e", "abcde"),
+        ("a < b <3 <", "a < b <3 <"),
+        ("a<b c", "a"),
+        ("<p a='x>y' b=\"z>\" c=>d &lt;e", "d <e"),
+        ("a<script>'</p>' <b></script>b<title>c</title>d<script>e", "abd"),
+        ("<div style='visibility:hidden'>a<span style='VISIBILITY: visible'>b</span><img alt=c></div>", "b"),
+        ("<div style='display:none'>a<span style='visibility:visible'>b</span></div>c<i style='display:none;display:inline'>d", "cd"),
+        ("<table><tr><td colspan=2>ab cd<td>x<tr><td>1<td>2<td>3</table>", "ab cd  x\n1  2   3"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
+        ("<table><tr><td>a<br>bb<td>c<tr><td colspan=999999999999>wide wide<tr><td><table><tr><td>x<td>y<tr><td>z</table><td>w</table>", "a     c\nbb\nwide wide\nx  y  w\nz"),
+    ],
+)
+def test_broken_and_spanning_markup(page, text):
+    assert html.visible_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<a <", "<!--", "</", "<", "<p a='", "<![x[", "<b c=\"", "&", "<script>", "<table><td>", "<td colspan=1000>", "<![CDATA[", "<a/=/=", "<textarea>"])
+def test_a_megabyte_of_broken_markup_takes_seconds(part):
+    began = time.time()
+    html.visible_text("x" + part * (300_000 // len(part)))
+    assert time.time() - began < 20
+
+
+def test_fuzzed_markup_never_fails(spark):
+    rng = random.Random(8)
+    parts = ["<", ">", "</", "<!", "--", "-->", "[", "]]>", "p", "table", "td", "tr", " ", "=", "'", '"', "&amp", "&#x;", "li", "ul", "style", "script", "colspan=3", "rowspan=2", "\n", "é", "/", "a", "hidden", "select", "head"]
+    pages = ["".join(rng.choices(parts, k=rng.randint(1, 60))) for _ in range(3000)] + [None, ""]
+    rows = spark.createDataFrame([(i, x, "t") for i, x in enumerate(pages)], "page_id long, html string, text string")
+    got = html.extract(rows.union(rows)).collect()
+    assert len(got) == 2 * len(pages) and {r.page_id: r.text for r in got}[3001] == ""
+    assert html.extract(rows.limit(0)).count() == 0
+    # Text between well-formed tags is all there, in order.
+    words = [f"w{k}" for k in range(500)]
+    page = "".join(rng.choice(["<p>", "<div>", "</div>", "<li>", "<b>", "</b>", "<table><tr><td>", "</table>", "<td>", "<br>", "<ul>", "</ul>"]) + w + " " for w in words)
+    assert sorted(re.findall(r"w[0-9]+", html.visible_text(page))) == sorted(words)
+
+
 def test_license_scan_against_brute_force(spark):
     notice = {label: text for label, text, _, _ in reversed(licenses.TEMPLATES)}
     part = " ".join(notice["bsd"].split()[: int(len(notice["bsd"].split()) * 0.6)])
