@@ -12,7 +12,8 @@ passes 0.7; a lone negated or reported one counts a quarter, 0.32 at most with a
 
 Learning: of the labelled rows outside the held-out third, at most `train_rows` (a documented bound, taken by the order of a hash of doc_id, so
 independent of partitions) have their words and word beginnings counted, once for each document, by Spark; those that stand in toxic documents far more
-often than elsewhere become stems. labels, lang, source and doc_id are no inputs of a score.
+often than elsewhere become stems. How much more often, and which stems are strong, was picked by cross_validated(), which sees those rows alone. labels, lang, source and
+doc_id are no inputs of a score.
 
 Nulls: a null or empty text scores 0. Rows are independent; repeated rows give repeated results; an empty table gives an empty one; without labels there are no stems
 and every score is 0. Columns besides doc_id and text are ignored.
@@ -45,6 +46,8 @@ WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”„«»]")
 TOKEN = re.compile(WORD.pattern + r"|[.!?;\n]")
 QUOTES = frozenset('"“”„«»')
 BEGINNINGS = (4, 5, 6)
+#: Picked by cross_validated(): how many times as frequent a stem is in toxic documents, and from which weight on it is an insult in itself.
+ODDS, STRONG = 120.0, 0.7
 
 
 def stems_of(text: str) -> set[str]:
@@ -57,10 +60,14 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, stems: int = 5_000, least: int = 8, odds: float = 60.0) -> dict[str, float]:
-    """Weights (0 to 1) of at most `stems` stems that `least` toxic training documents have and that are `odds` times as frequent in toxic ones."""
+def training_rows(labels: DataFrame, train_rows: int) -> DataFrame:
+    """doc_id and toxic of the labelled rows to learn from, at most `train_rows`."""
     usable = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long"), "toxic")
-    chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    return usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+
+
+def counted(docs: DataFrame, chosen: DataFrame, least: int) -> list[tuple[str, int, float]]:
+    """Stems that `least` toxic documents of the chosen rows have, in how many, and how many times as frequent they are in toxic documents as in others."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,16 +79,42 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, stems: i
 
     totals = dict(chosen.groupBy("toxic").count().collect())
     if not totals.get(1):
-        return {}
-    # Bounded by train_rows.
+        return []
+    # Bounded by the number of chosen rows, as is what comes back.
     sample = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    counted = sample.mapInArrow(task, "stem string, clean long, toxic long").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("toxic") >= least)
+    rows = sample.mapInArrow(task, "stem string, clean long, toxic long").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("toxic") >= least)
     share = ((F.col("toxic") + 0.5) / (totals[1] + 1)) / ((F.col("clean") + 0.5) / (totals.get(0, 0) + 1))
-    rows = counted.withColumn("odds", share).where(F.col("odds") >= odds).orderBy(F.col("odds").desc(), "stem").limit(stems).collect()
-    words = [(r.stem, r.toxic) for r in rows if r.stem[-1] != "-"]
+    return [tuple(r) for r in rows.select("stem", "toxic", share.alias("odds")).where("odds > 1").orderBy(F.col("odds").desc(), "stem").collect()]
+
+
+def weights(found: list[tuple[str, int, float]], odds: float) -> dict[str, float]:
+    """Weights (0 to 1) of the stems that are `odds` times as frequent in toxic documents."""
+    often = [x for x in found if x[2] >= odds]
+    words = [(stem, toxic) for stem, toxic, _ in often if stem[-1] != "-"]
     # A beginning that one word mostly accounts for says no more than that word.
-    idle = {r.stem for r in rows if r.stem[-1] == "-" and any(3 * t >= 2 * r.toxic and w.startswith(r.stem[:-1]) for w, t in words)}
-    return {r.stem: min(1.0, math.log(r.odds) / math.log(20 * odds)) for r in rows if r.stem not in idle}
+    idle = {stem for stem, toxic, _ in often if stem[-1] == "-" and any(3 * t >= 2 * toxic and w.startswith(stem[:-1]) for w, t in words)}
+    return {stem: min(1.0, math.log(x) / math.log(20 * odds)) for stem, _, x in often if stem not in idle}
+
+
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, least: int = 8, odds: float = ODDS) -> dict[str, float]:
+    """Weights of the stems of the training rows."""
+    return weights(counted(docs, training_rows(labels, train_rows), least), odds)
+
+
+def cross_validated(docs: DataFrame, labels: DataFrame, odds: list[float], strong: list[float], folds: int = 3, train_rows: int = 20_000, least: int = 8, threshold: float = 0.7) -> list[tuple]:
+    """(odds, strong, toxic, caught, clean, false) of each pair of parameters, each fold of the training rows judged by what the others teach; held-out rows have no part."""
+    chosen = training_rows(labels, train_rows).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds))).persist()
+    sums: dict[tuple[float, float], list[int]] = {(o, s): [0, 0, 0, 0] for o in odds for s in strong}
+    for fold in range(folds):
+        found = counted(docs, chosen.where(F.col("fold") != fold).select("doc_id", "toxic"), least)
+        sample = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen.where(F.col("fold") == fold)), "doc_id")
+        judged = sample.select("toxic", *((score(weights(found, o), s) >= threshold).cast("int").alias(f"p{k}") for k, (o, s) in enumerate(sums)))
+        for r in judged.groupBy("toxic").agg(F.count("*").alias("n"), *(F.sum(f"p{k}").alias(f"p{k}") for k in range(len(sums)))).collect():
+            for k, total in enumerate(sums.values()):
+                total[0 if r.toxic else 2] += r.n
+                total[1 if r.toxic else 3] += r[f"p{k}"]
+    chosen.unpersist()
+    return [(*key, *total) for key, total in sums.items()]
 
 
 # Symbols: o other, I strong and i weak insult, h harm, d dying, x "die", m intent or modal, y z c t targets (English subject, other subject, clitic, other), n negation,
@@ -183,7 +216,7 @@ class Composed(dict):
 class Grammar:
     """Words to symbols, and the composed automaton over them. Stems that weigh `strong` or more are insults in themselves."""
 
-    def __init__(self, stems: dict[str, float], reach: int = 4, strong: float = 0.8):
+    def __init__(self, stems: dict[str, float], reach: int = 4, strong: float = STRONG):
         self.stems, self.strong = stems, strong
         self.quick = frozenset(s for s in stems if s[-1] != "-")
         self.heads = [(k, frozenset(s[:-1] for s in stems if s[-1] == "-" and len(s) == k + 1)) for k in BEGINNINGS]
@@ -213,9 +246,9 @@ class Grammar:
         return 1.0 - math.exp(-3.0 * total)
 
 
-def score(stems: dict[str, float]) -> Column:
+def score(stems: dict[str, float], strong: float = STRONG) -> Column:
     """A score from 0 to 1 of the column text."""
-    grammar = Grammar(stems)
+    grammar = Grammar(stems, strong=strong)
 
     @F.pandas_udf("double")
     def of(texts):  # noqa: ANN001, ANN202
