@@ -16,14 +16,19 @@ from pyspark.sql import functions as F
 
 from revgraph.llm.common import written
 
-# The most common words of each language.
+# The most common words of each language, as far as they have ASCII letters alone.
 COMMON_WORDS = {
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los"],
+    "en": "the of and to in a is that for it was on are as with his".split(),
+    "de": "der die und in den von zu das mit sich des auf ist im dem nicht".split(),
+    "fr": "de la le et les des en un du une que est pour qui dans a".split(),
+    "es": "de la que el en y a los se del las un por con no una".split(),
 }
 WORD_LIST = sorted({w for words in COMMON_WORDS.values() for w in words})
+#: The words between bars, in one string.
+BARRED = "".join(f"|{w}|" for w in WORD_LIST)
+LONGEST = max(map(len, WORD_LIST))
+#: The greatest distances to the nearest reference that are fine.
+MOST_CHARS, MOST_WORDS = 0.21, 0.33
 SPACE = r"[\x20\x09-\x0D]"
 #: Taken away one after the other; what is left is the class of all other characters.
 CLASSES = [("lower", "[a-z]+"), ("space", rf"{SPACE}+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("mark", r"[\x21-\x7E]+")]
@@ -39,10 +44,13 @@ def with_histograms(rows: DataFrame) -> DataFrame:
         "chars": F.array(*(a - b for a, b in zip(rest, rest[1:], strict=False)), rest[-1]),
         # Letters, white space and digits are gone by then.
         "n_symbols": F.length("rest4") - F.length(F.regexp_replace("rest4", "[#*$%&|<>]+", "")),
-        "spread": F.concat(F.lit("  "), F.regexp_replace(F.lower("rest0"), r"[\x20\x09-\x0D.,;:!?]+", "  "), F.lit("  ")),
+        "low": F.split(F.regexp_replace(F.lower("rest0"), r"[\x20\x09-\x0D.,;:!?]+", " "), " "),
     }).drop(*(f"rest{k}" for k in range(1, len(CLASSES) + 1)))
-    found = [((F.octet_length("spread") - F.octet_length(F.replace("spread", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("int") for w in WORD_LIST]
-    return rows.withColumn("common", F.array(*found)).drop("spread")
+    # The common words of a text as a short string in which each is counted. Expressions over an array stay small whatever its length, unlike a column for each word.
+    few = F.filter("low", lambda w: (F.octet_length(w) <= LONGEST) & (w != "") & (F.instr(F.lit(BARRED), F.concat(F.lit("|"), w, F.lit("|"))) > 0))
+    rows = rows.withColumn("few", F.concat(F.lit("|"), F.array_join(few, "||"), F.lit("|")))
+    found = F.transform(F.array(*(F.lit(f"|{w}|") for w in WORD_LIST)), lambda w: ((F.octet_length("few") - F.octet_length(F.replace("few", w, F.lit("")))) / F.octet_length(w)).cast("int"))
+    return rows.withColumn("common", found).drop("low", "few")
 
 
 def with_words(rows: DataFrame) -> DataFrame:
@@ -61,9 +69,9 @@ def with_words(rows: DataFrame) -> DataFrame:
 
 
 def histograms(docs: DataFrame) -> DataFrame:
-    """lang, n_words, chars and common of documents; words are counted by the gaps between them, for which one more or less doesn't matter."""
+    """lang, n_words, chars and common of documents."""
     rows = with_histograms(docs.where(F.col("lang").isin(*COMMON_WORDS)).select("lang", "text"))
-    return rows.select("lang", F.size(F.split("rest0", f"{SPACE}+")).alias("n_words"), "chars", "common")
+    return rows.select("lang", F.size(F.array_remove(F.split("rest0", f"{SPACE}+"), "")).alias("n_words"), "chars", "common")
 
 
 def references(rows: DataFrame, min_words: int) -> list[tuple[str, list[float], list[float]]]:
@@ -80,13 +88,14 @@ def references(rows: DataFrame, min_words: int) -> list[tuple[str, list[float],
 
 
 def distance(counts: Column, total: Column, shares: list[float]) -> Column:
-    """Jensen-Shannon distance of a histogram to reference shares."""
+    """Jensen-Shannon distance of a histogram to reference shares. Where a count is 0 its term is the share, so all of them start from the sum of the shares, which is 1."""
 
-    def part(x: Column, m: Column) -> Column:
-        return F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
+    def term(p: Column, q: Column) -> Column:
+        m = (p + q) / 2
+        return p * F.log2(p / m) + F.when(q > 0, q * F.log2(q / m) - q).otherwise(0.0)
 
-    terms = F.zip_with(counts, F.array(*map(F.lit, shares)), lambda c, q: part(c / total, (c / total + q) / 2) + part(q, (c / total + q) / 2))
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
+    terms = F.zip_with(counts, F.array(*map(F.lit, shares)), lambda c, q: F.when(c > 0, term(c / total, q)).otherwise(0.0))
+    return F.sqrt(F.greatest((F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) + sum(shares)) / 2, F.lit(0.0)))
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -95,8 +104,8 @@ def features(docs: DataFrame) -> DataFrame:
     return rows.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "common")
 
 
-def judged(rows: DataFrame, known: list[tuple[str, list[float], list[float]]], min_words: int, most_chars: float = 0.25, most_words: float = 0.40) -> DataFrame:
-    """row with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance, from features()."""
+def judged(rows: DataFrame, known: list[tuple[str, list[float], list[float]]], min_words: int, most_chars: float = MOST_CHARS, most_words: float = MOST_WORDS) -> DataFrame:
+    """row with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance (null for short texts, rounded), from features()."""
     total = F.aggregate("chars", F.lit(0), lambda a, x: a + x)
     rest = F.greatest(F.col("n_words") - F.aggregate("common", F.lit(0), lambda a, x: a + x), F.lit(0))
     rows = rows.withColumns({"total": F.greatest(total, F.lit(1)), "common": F.array_append("common", rest)})
@@ -106,11 +115,11 @@ def judged(rows: DataFrame, known: list[tuple[str, list[float], list[float]]], m
     words = [distance(F.col("common"), F.col("total_words"), w) for _, _, w in known]
     near = lambda x: F.least(*x) if len(x) > 1 else x[0] if x else none
     rows = rows.withColumns({
-        "char_distance": near(chars),
-        "word_distance": near(words),
+        "char_distance": F.round(F.when(F.col("n_words") >= min_words, near(chars)), 9),
+        "word_distance": F.round(F.when(F.col("n_words") >= min_words, near(words)), 9),
         "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words").cast("long") > 50 * F.col("n_words").cast("long")),
     })
-    far = (F.col("n_words") >= min_words) & ((F.col("char_distance") > most_chars) | (F.col("word_distance") > most_words))
+    far = ((F.col("char_distance") > most_chars) | (F.col("word_distance") > most_words))
     rows = rows.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
     counts = [F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return rows.select("row", *counts, "base_failed", "kept", "char_distance", "word_distance")

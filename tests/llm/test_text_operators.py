@@ -104,6 +104,41 @@ def test_quality_measures(spark):
         assert not (r.base_failed and r.kept)
 
 
+def test_distances_against_plain_ones(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices([*quality.WORD_LIST, "Über", "x1", "THE,", "a.b", "##", "ñandú!"], k=rng.choice([99, 100, 101, 400]))) for _ in range(60)] + [None, ""]
+    rows = [(i, x, list(quality.COMMON_WORDS)[i % 3], "s", 0) for i, x in enumerate(texts)]
+    docs = spark.createDataFrame(rows + rows[:9], "doc_id long, text string, lang string, source string, n_chars long").withColumns({"chars": F.lit(1), "words": F.lit(2)})
+
+    def histograms(text):
+        kinds = collections.Counter("lower" if "a" <= c <= "z" else "upper" if "A" <= c <= "Z" else "digit" if "0" <= c <= "9" else "space" if c in " \t\n\v\f\r" else "mark" if "!" <= c <= "~" else "other" for c in text)
+        words = collections.Counter(re.split(r"[\s.,;:!?]+", text.lower()))
+        common = [words[w] for w in quality.WORD_LIST]
+        return [kinds[k] for k in ("lower", "space", "upper", "digit", "mark", "other")], [*common, max(0, len(text.split()) - sum(common))]
+
+    def js(p, q):
+        p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        return math.sqrt(max(0.0, sum((a * math.log2(2 * a / (a + b)) if a else 0) + (b * math.log2(2 * b / (a + b)) if b else 0) for a, b in zip(p, q, strict=True)) / 2))
+
+    sums = {}
+    for _, text, lang, *_ in rows + rows[:9]:
+        if len((text or "").split()) >= 100:
+            sums[lang] = [[a + b for a, b in zip(x, y, strict=True)] for x, y in zip(sums.get(lang, ([0] * 6, [0] * (len(quality.WORD_LIST) + 1))), histograms(text), strict=True)]
+    kept = set()
+    for r in quality.rules(docs).collect():
+        text = texts[r.doc_id] or ""
+        if len(text.split()) < 100:
+            assert r.char_distance is None and r.word_distance is None
+        else:
+            want = [min(js(h, s[k]) for s in sums.values()) for k, h in enumerate(histograms(text))]
+            assert abs(r.char_distance - want[0]) < 1e-8 and abs(r.word_distance - want[1]) < 1e-8
+        far = (r.char_distance or 0) > quality.MOST_CHARS or (r.word_distance or 0) > quality.MOST_WORDS
+        assert r.kept == (not r.base_failed and not far)
+        kept |= {r.doc_id} if r.kept else set()
+    good = quality.good(docs)
+    assert good.columns == docs.columns and {r.doc_id for r in good.collect()} == kept
+
+
 def test_quality_filter_keeps_prose(spark):
     prose = "the river of time is in a valley that leads to the sea and on to the hills beyond it "
     docs = [" ".join(f"{w}{k * 7 + i * 131}" if k % 3 else w for k, w in enumerate(prose.split() * 8)) for i in range(30)] + ["#%$ " * 150]
