@@ -115,8 +115,8 @@ def judged(rows: DataFrame, known: list[tuple[str, list[float], list[float]]], m
     words = [distance(F.col("common"), F.col("total_words"), w) for _, _, w in known]
     near = lambda x: F.least(*x) if len(x) > 1 else x[0] if x else none
     rows = rows.withColumns({
-        "char_distance": F.round(F.when(F.col("n_words") >= min_words, near(chars)), 9),
-        "word_distance": F.round(F.when(F.col("n_words") >= min_words, near(words)), 9),
+        "char_distance": F.round(F.when(F.col("n_words") >= min_words, near(chars)), 6),
+        "word_distance": F.round(F.when(F.col("n_words") >= min_words, near(words)), 6),
         "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words").cast("long") > 50 * F.col("n_words").cast("long")),
     })
     far = ((F.col("char_distance") > most_chars) | (F.col("word_distance") > most_words))

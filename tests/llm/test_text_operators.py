@@ -131,7 +131,7 @@ def test_distances_against_plain_ones(spark):
             assert r.char_distance is None and r.word_distance is None
         else:
             want = [min(js(h, s[k]) for s in sums.values()) for k, h in enumerate(histograms(text))]
-            assert abs(r.char_distance - want[0]) < 1e-8 and abs(r.word_distance - want[1]) < 1e-8
+            assert abs(r.char_distance - want[0]) < 1e-6 and abs(r.word_distance - want[1]) < 1e-6
         far = (r.char_distance or 0) > quality.MOST_CHARS or (r.word_distance or 0) > quality.MOST_WORDS
         assert r.kept == (not r.base_failed and not far)
         kept |= {r.doc_id} if r.kept else set()
