@@ -487,8 +487,40 @@ def unified_diff(spark: SparkSession, sf: str) -> DataFrame:
     return linediff.unified(side("a", "old").join(side("b", "new"), "path").where("old <> new"))
 
 
+def chain(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Commits and edges of one linear history: each event follows the one with the id before."""
+    c = fx.read(spark, sf, "events").select(F.col("event_id").alias("id"))
+    return c, c.select("id", F.lit(0).alias("ord"), (F.col("id") - 1).alias("parent_id")).join(c.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
+
+
 @query("SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS generation FROM events")
 def generation_chain(spark: SparkSession, sf: str) -> DataFrame:
-    """A linear history needs no traversal: a commit's generation is its place."""
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return fx.read(spark, sf, "events").select("user_id", "event_id", place.alias("generation"))
+    """A linear history for each user, in which a commit's generation is its place."""
+    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = fx.read(spark, sf, "events").select("user_id", F.col("event_id").alias("id"), before.alias("parent_id"))
+    made = walk.generations(rows.select("id"), rows.where("parent_id is not null").select("id", F.lit(0).alias("ord"), "parent_id"))
+    return made.join(rows.select("user_id", "id"), "id").select("user_id", F.col("id").alias("event_id"), "generation")
+
+
+@query("SELECT event_id AS id FROM events WHERE event_id <= (SELECT max(event_id) FROM events WHERE event_id % 7 = 0) AND event_id > (SELECT min(event_id) + 40 FROM events)")
+def walk_long_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """One linear history of all events."""
+    c, e = chain(spark, sf)
+    ends = c.agg(F.max(F.when(F.col("id") % 7 == 0, F.col("id"))).alias("id"), (F.min("id") + 40).alias("hidden"))
+    found = walk.closure(e, ends.select("id"), first_parent=True)
+    return found.join(walk.closure(e, ends.select(F.col("hidden").alias("id")), first_parent=True), "id", "left_anti")
+
+
+@query(f"""WITH RECURSIVE {GRAPH}, n AS (SELECT id, parent_id FROM e UNION SELECT c.id, p.id FROM c JOIN c p ON p.conv_id = c.conv_id - 1 AND p.turn = c.turn + 1 WHERE c.conv_id % 5 = 0),
+g AS (SELECT id, 1 AS n FROM c UNION SELECT n.id, g.n + 1 FROM g JOIN n ON n.parent_id = g.id) SELECT id, CAST(max(n) AS INTEGER) AS generation FROM g GROUP BY id""")
+def generation_renames(spark: SparkSession, sf: str) -> DataFrame:
+    c = fx.commits(spark, sf)
+    sources = c.alias("c").join(c.alias("p"), F.expr("p.conv_id = c.conv_id - 1 and p.turn = c.turn + 1 and c.conv_id % 5 = 0")).select("c.id", F.col("p.id").alias("source_id"))
+    return walk.generations(c, fx.edges(spark, sf), sources)
+
+
+@query(f"WITH RECURSIVE {GRAPH}, {reach('r', SOME_HEADS)}, w AS (SELECT c.*, row_number() OVER (ORDER BY generation DESC, id) AS k FROM c WHERE id IN (SELECT id FROM r)) SELECT id, generation FROM w WHERE k <= (SELECT min(k) FROM w WHERE tree = 'user' AND conv_id % 7 = 3)")
+def walk_stop(spark: SparkSession, sf: str) -> DataFrame:
+    c, e = fx.commits(spark, sf), fx.edges(spark, sf)
+    rows = walk.walk(c, e, heads(c.where("conv_id % 2 = 0")))
+    return walk.stopped(rows, c.where("tree = 'user' and conv_id % 7 = 3")).select("id", "generation")

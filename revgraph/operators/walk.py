@@ -1,7 +1,8 @@
 """Commit-graph traversal over commits(id, generation, ...) and edges commit_parents(id, ord, parent_id).
 
-A child's generation exceeds its parents'. Closures are loops over levels: a frontier meets its edges, what was seen before is taken away, and each level is
-a table of its own, so the plan doesn't grow with depth. Where only first parents count, chains are followed by doubling.
+A child's generation exceeds its parents'. Chains of first parents are followed by doubling: a table of jumps of 1, 2, 4, ... steps takes a set of commits to all
+their first-parent ancestors in as many joins as the logarithm of the longest chain. Where all parents count, the side parents of what was reached begin the next
+chains, so the rounds are as many as merges lie within one another, not as a history is long. What was reached is a table of its own, so the plan doesn't grow with depth.
 """
 
 from __future__ import annotations
@@ -14,21 +15,47 @@ from pyspark.sql import functions as F
 from revgraph.plans.tables import written
 
 
+class Jumps:
+    """Tables (at, to) of 2 ** k first-parent steps, made as they are asked for."""
+
+    def __init__(self, edges: DataFrame):
+        self.tables = [edges.where("ord = 0").select(F.col("id").alias("at"), F.col("parent_id").alias("to"))]
+
+    def __getitem__(self, k: int) -> DataFrame:
+        while len(self.tables) <= k:
+            last = self.tables[-1]
+            self.tables.append(written(last.alias("a").join(last.alias("b"), F.col("a.to") == F.col("b.at")).select("a.at", "b.to"), "jumps"))
+        return self.tables[k]
+
+
+def along(jumps: Jumps, new: DataFrame, seen: list[DataFrame]) -> list[DataFrame]:
+    """Tables of ids: new and all first-parent ancestors that seen, which has the ancestors of its own members, doesn't hold."""
+    grown, k = [new], 0
+    while True:
+        found = reduce(DataFrame.union, grown).join(jumps[k], F.col("id") == F.col("at")).select(F.col("to").alias("id")).where("id is not null").distinct()
+        found = written(reduce(lambda d, have: d.join(have, "id", "left_anti"), [*grown, *seen], found), "level")
+        if found.isEmpty():
+            return grown
+        grown.append(found)
+        k += 1
+
+
 def closure(edges: DataFrame, starts: DataFrame, first_parent: bool = False) -> DataFrame:
     """id of all commits reachable from starts (id), themselves included."""
-    step = (edges.where("ord = 0") if first_parent else edges).select("id", "parent_id")
-    frontier = written(starts.select("id").where("id is not null").distinct(), "level")
-    levels = [frontier]
+    jumps, side = Jumps(edges), edges.where("ord > 0").select("id", F.col("parent_id").alias("to"))
+    new, seen = written(starts.select("id").where("id is not null").distinct(), "level"), []
     while True:
-        found = frontier.join(step, "id").select(F.col("parent_id").alias("id")).distinct()
-        found = reduce(lambda d, seen: d.join(seen, "id", "left_anti"), levels, found)
-        frontier = written(found, "level")
-        if frontier.isEmpty():
+        grown = along(jumps, new, seen)
+        seen = seen + grown
+        if first_parent:
+            break
+        found = reduce(DataFrame.union, grown).join(side, "id").select(F.col("to").alias("id")).where("id is not null").distinct()
+        new = written(reduce(lambda d, have: d.join(have, "id", "left_anti"), seen, found), "level")
+        if new.isEmpty():
             break
-        levels.append(frontier)
-        if len(levels) >= 8:
-            levels = [written(reduce(DataFrame.union, levels), "seen")]
-    return reduce(DataFrame.union, levels)
+        if len(seen) >= 8:
+            seen = [written(reduce(DataFrame.union, seen), "seen")]
+    return reduce(DataFrame.union, seen)
 
 
 def walk(commits: DataFrame, edges: DataFrame, roots: DataFrame, hidden: DataFrame | None = None, first_parent: bool = False, generation_from: int | None = None, generation_to: int | None = None) -> DataFrame:
@@ -57,6 +84,15 @@ def emission(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.col("generation").desc(), "id")
 
 
+def stopped(rows: DataFrame, stop: DataFrame) -> DataFrame:
+    """The part of a walk that a callback sees which stops at the first commit of `stop` (id) in order of emission; that one is its last."""
+    place = F.struct((-F.col("generation")).alias("g"), F.col("id").alias("id"))
+    first = rows.join(stop.select("id").distinct(), "id", "left_semi").agg(F.min(place).alias("x")).select("x.g", "x.id").first()
+    if first.id is None:
+        return rows
+    return rows.where((-F.col("generation") < first.g) | ((-F.col("generation") == first.g) & (F.col("id") <= F.lit(first.id))))
+
+
 def nth_parent(rows: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     """id and result: the commit itself for 0, null where there is no such parent."""
     if n == 0:
@@ -77,20 +113,40 @@ def nth_ancestor(rows: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     return now
 
 
-def generations(commits: DataFrame, edges: DataFrame) -> DataFrame:
-    """id and generation: 1 for roots, else one more than the greatest of the parents'. A level settles all commits whose parents are settled."""
-    waiting = commits.select("id").join(edges.groupBy("id").agg(F.count("*").alias("open")), "id", "left").select("id", F.coalesce("open", F.lit(0)).alias("open"))
-    level = written(waiting.where("open = 0").select("id", F.lit(1).alias("generation")), "level")
-    waiting = written(waiting.where("open > 0"), "waiting")
-    done, k = [level], 1
-    while not level.isEmpty():
-        k += 1
-        closed = edges.join(level.select(F.col("id").alias("parent_id")), "parent_id").groupBy("id").agg(F.count("*").alias("closed"))
-        waiting = written(waiting.join(closed, "id", "left").select("id", (F.col("open") - F.coalesce("closed", F.lit(0))).alias("open")), "waiting")
-        level = written(waiting.where("open = 0").select("id", F.lit(k).alias("generation")), "level")
-        waiting = waiting.where("open > 0")
+def generations(commits: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """id and generation: 1 for roots, else one more than the greatest of what a commit names: its parents and, if given, the commits that its renames come from (id, source_id).
+
+    A commit that names one other continues a chain, whose length comes by doubling. Roots and commits that name several are settled level by level, once all that they
+    name are settled, so the levels are as many as such commits lie within one another.
+    """
+    named = edges.select("id", "parent_id") if sources is None else edges.select("id", "parent_id").union(sources.select("id", F.col("source_id").alias("parent_id")))
+    named = written(named.where("parent_id is not null").join(commits.select("id"), "id", "left_semi").distinct(), "named")
+    count = named.groupBy("id").agg(F.count("*").alias("n"), F.min("parent_id").alias("only"))
+    ends = commits.select("id").distinct().join(count, "id", "left").withColumn("chain", F.coalesce(F.col("n") == 1, F.lit(False)))
+    # Up to which commit, and over how many steps, each one's chain is followed so far; open: that one is on a chain itself.
+    up = written(ends.select("id", F.when(F.col("chain"), F.col("only")).otherwise(F.col("id")).alias("to"), F.col("chain").cast("int").alias("steps"), F.col("chain").alias("open")), "chains")
+    while not up.where("open").isEmpty():
+        on = up.select(F.col("id").alias("at"), F.col("to").alias("then"), F.col("steps").alias("more"), F.col("open").alias("still"))
+        both = up.join(on, F.col("to") == F.col("at"), "left")
+        # A commit that isn't in the table counts as a root.
+        up = written(both.select("id", F.coalesce("then", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("open") & F.coalesce("still", F.lit(False)) & (F.col("steps") > 0) & (F.col("more") > 0)).alias("open")), "chains")
+    tops = up.select(F.col("id").alias("parent_id"), "to", "steps")
+    several = named.join(count.where("n > 1").select("id"), "id", "left_semi").join(tops, "parent_id", "left").select("id", F.coalesce("to", "parent_id").alias("to"), F.coalesce("steps", F.lit(0)).alias("steps"))
+    several = written(several, "merges")
+    roots = up.select(F.col("to").alias("id")).union(several.select(F.col("to").alias("id"))).distinct().join(several.select("id").distinct(), "id", "left_anti")
+    done = [written(roots.select("id", F.lit(1).alias("generation")), "settled")]
+    while True:
+        settled = reduce(DataFrame.union, done)
+        open_ones = several.join(settled.select("id"), "id", "left_anti").join(settled.select(F.col("id").alias("to"), "generation"), "to", "left")
+        ready = open_ones.groupBy("id").agg(F.every(F.col("generation").isNotNull()).alias("all"), (F.max(F.col("generation") + F.col("steps")) + 1).alias("generation"))
+        level = written(ready.where("all").select("id", "generation"), "settled")
+        if level.isEmpty():
+            break
         done.append(level)
-    return reduce(DataFrame.union, done)
+        if len(done) >= 8:
+            done = [written(reduce(DataFrame.union, done), "settled")]
+    top = reduce(DataFrame.union, done).select(F.col("id").alias("to"), "generation")
+    return up.join(top, "to").select("id", (F.col("generation") + F.col("steps")).cast("int").alias("generation"))
 
 
 def merge_bases(commits: DataFrame, edges: DataFrame, one: DataFrame, other: DataFrame) -> DataFrame:
