@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revgraph.functions.text import ancestors, clean_path
+from revgraph.plans.tables import written
 
 
 def patterns(paths: DataFrame, path: str = "path") -> DataFrame:
@@ -18,7 +19,10 @@ def matching(rows: DataFrame, include: DataFrame | None, path: str = "path") ->
 
     An equi-join on the path and its ancestors, so that many patterns need no product with the rows.
     """
-    if include is None or include.isEmpty():
+    if include is None:
+        return rows
+    include = written(include, "include")  # used twice, and it may be a long plan
+    if include.isEmpty():
         return rows
     own = F.array_distinct(F.concat(ancestors(F.col(path)), F.array(path)))
     keys = rows.select(path).distinct().select(path, F.explode(own).alias("pattern"))

@@ -64,3 +64,37 @@ def summary(rows: DataFrame) -> DataFrame:
     count = F.count("*")
     text = F.concat(count.cast("string"), F.when(count == 1, " file").otherwise(" files"), F.lit(" changed"))
     return rows.agg(count.alias("files"), text.alias("report"), F.coalesce(F.bool_or(F.col("action") == "Add"), F.lit(False)).alias("created"), F.coalesce(F.bool_or(F.col("action") == "Delete"), F.lit(False)).alias("deleted"))
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """How many paths have each status, in order of the report."""
+    return rows.groupBy("status").agg(F.count("*").alias("paths")).orderBy("status")
+
+
+def switched(working: DataFrame, head: DataFrame, target: DataFrame) -> DataFrame:
+    """The working files after a switch: what differs between the heads comes from the target, all else stays. Conflicts (see conflicts()) must be none."""
+    entry = F.struct("type", "oid")
+    heads = head.select("path", entry.alias("x")).join(target.select("path", entry.alias("y")), "path", "full_outer").where("not (x <=> y)").select("path")
+    return working.join(heads, "path", "left_anti").unionByName(target.join(heads, "path", "left_semi").select(working.columns))
+
+
+def reset_hard(working: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """The working files after a hard reset: all that the new head tracks is as there, what only the old one tracks is gone, untracked files stay."""
+    loose = working.join(old.select("path").union(new.select("path")).distinct(), "path", "left_anti")
+    return loose.unionByName(new.select(working.columns))
+
+
+def committed(head: DataFrame, working: DataFrame, rules: list[ignore.Rule], include: DataFrame | None = None, untracked: bool = False) -> DataFrame:
+    """The files of the next commit: under the paths those of the working tree, untracked ones only if asked for and never ignored ones; elsewhere those of the head."""
+    columns = ["path", "type", "oid", "size"]
+    found = status(head, working, rules, include=include)
+    taken = found.where(F.col("status").isin(MODIFIED, UNTRACKED) if untracked else F.col("status") == MODIFIED).select("path")
+    gone = found.where(F.col("status") == DELETED).select("path")
+    kept = head.join(taken.union(gone), "path", "left_anti").select(columns)
+    return kept.unionByName(working.join(taken, "path", "left_semi").select(columns))
+
+
+def report(changes: DataFrame) -> DataFrame:
+    """Lines of a commit's report, by path; first: the one under which the report's heading stands."""
+    first = changes.agg(F.min("path").alias("x")).first().x
+    return changes.select("action", "path", (F.col("path") == F.lit(first)).alias("first")).orderBy("path")

@@ -124,3 +124,18 @@ def latest(log: DataFrame, key: str = "key", version: str = "version", deleted:
     """The last version of each key, without tombstones: a key-value table kept as an append-only log."""
     rows = log.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(version).desc()))).where("_n = 1").drop("_n")
     return rows.where(~deleted) if deleted is not None else rows
+
+
+def guarded(content: Column, most: int = CHUNK) -> Column:
+    """The content; an error for one that is longer than a single object may be."""
+    return F.when(F.octet_length(content) > most, F.raise_error(F.lit("object is too large")).cast("binary")).otherwise(content)
+
+
+def collected(store: DataFrame, objects: DataFrame) -> DataFrame:
+    """Ids and types of the objects that a write would add."""
+    return append_new(store, objects).select("oid", "type").distinct()
+
+
+def per_commit(converted: DataFrame, commit: str = "commit_id") -> DataFrame:
+    """How many objects each converted commit brought."""
+    return converted.groupBy(commit).agg(F.count("*").alias("objects"))

@@ -35,11 +35,11 @@ def with_directories(files: DataFrame) -> DataFrame:
     return done.drop("depth")
 
 
-def flattened(entries: DataFrame, roots: DataFrame, most: int = 4096) -> DataFrame:
+def flattened(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """(tree, path, type, oid, size) of all entries under the given trees; entries: tree_id, name, type, oid, size; roots: tree. Level by level."""
     level = roots.select("tree", F.lit("").alias("prefix"), F.col("tree").alias("tree_id"))
     done = None
-    for _ in range(most):
+    while True:
         found = written(level.join(entries, "tree_id").select("tree", join_path(F.col("prefix"), F.col("name")).alias("path"), "type", "oid", "size"), "level")
         if found.isEmpty():
             break
@@ -68,3 +68,32 @@ def copied(base: DataFrame, source: str, target: str) -> DataFrame:
 def children(entries: DataFrame, path: str) -> DataFrame:
     """The entries of a directory in a flattened tree, by name."""
     return entries.where((parent_path(F.col("path")) == path) & (F.col("path") != "")).select(file_name(F.col("path")).alias("name"), "type", "oid", "size").orderBy("name")
+
+
+def has_paths(entries: DataFrame, paths: DataFrame) -> DataFrame:
+    """path and present: whether a flattened tree has each path."""
+    there = entries.select("path", F.lit(True).alias("there")).distinct()
+    return paths.select("path").distinct().join(there, "path", "left").select("path", F.coalesce("there", F.lit(False)).alias("present"))
+
+
+def last_edits(edits: DataFrame) -> DataFrame:
+    """The last edit of each path."""
+    return edits.groupBy("path").agg(F.max_by(F.struct(*(c for c in edits.columns if c != "path")), "seq").alias("edit")).select("path", "edit.*")
+
+
+def stage_entries(base: DataFrame, edits: DataFrame) -> DataFrame:
+    """path, type, oid, removed of files and of single-path edits on them; a removed path keeps the entry that it had."""
+    last = last_edits(edits.select("seq", "action", "path", F.col("type").alias("t"), F.col("oid").alias("o")))
+    both = base.select("path", "type", "oid").join(last, "path", "full_outer").where("type is not null or action <> 'remove'")
+    new = F.col("action") == "upsert"
+    return both.select("path", F.when(new, F.col("t")).otherwise(F.col("type")).alias("type"), F.when(new, F.col("o")).otherwise(F.col("oid")).alias("oid"), F.coalesce(F.col("action") == "remove", F.lit(False)).alias("removed"))
+
+
+def copy_info(edits: DataFrame) -> DataFrame:
+    """path, source_id and source_path of the paths whose last edit is a copy."""
+    return last_edits(edits).where("action = 'copy'").select("path", "source_id", "source_path")
+
+
+def tree_ids(ids: DataFrame, commits: DataFrame) -> DataFrame:
+    """id and tree_id: a commit's root tree, or the id itself."""
+    return ids.select("id").distinct().join(commits.select("id", "tree"), "id", "left").select("id", F.coalesce("tree", "id").alias("tree_id"))

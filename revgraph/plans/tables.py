@@ -26,11 +26,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(rows: DataFrame, key: str, name: str = "seq", depth: int = 2) -> DataFrame:
-    """Adds 1, 2, ... in the order of an array column: within the rows that share its first `depth` elements, after the counts of those before them."""
-    rows = rows.withColumn("_head", F.slice(key, 1, depth))
-    counts = rows.groupBy("_head").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_head", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_head").orderBy(key))
-    return rows.withColumn(name, inside).join(counts, "_head").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_head", "_before")
+def numbered(rows: DataFrame, key: str, name: str = "seq") -> DataFrame:
+    """Adds 1, 2, ... in the order of a column: ranges of it are sorted apart, and each row's number is its place in its range after the rows of the ranges before."""
+    ranged = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_range", F.spark_partition_id())
+    ranged = written(ranged.withColumn("_place", F.monotonically_increasing_id() - F.shiftleft(F.col("_range").cast("long"), 33)), "numbered")
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row for each range
+    return ranged.join(F.broadcast(counts), "_range").withColumn(name, F.col("_before") + F.col("_place") + 1).drop("_range", "_place", "_before")

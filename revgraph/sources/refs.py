@@ -36,3 +36,10 @@ def workspace_name(path: str, taken: set[str]) -> str:
     while name in taken:
         name += "1"
     return name
+
+
+def for_path(workspaces: DataFrame, paths: DataFrame) -> DataFrame:
+    """path and name of the workspace at each path, or, where none is, of the first workspace by name."""
+    first = workspaces.agg(F.min("name").alias("x")).first().x
+    known = workspaces.groupBy("path").agg(F.min("name").alias("name"))
+    return paths.select("path").distinct().join(known, "path", "left").select("path", F.coalesce("name", F.lit(first)).alias("name"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from revgraph.functions import objects as o
+from revgraph.operators import walk
 
 
 def stale_branches(remote: DataFrame, local: DataFrame) -> DataFrame:
@@ -47,3 +48,22 @@ def follow(spark: SparkSession, source: str, schema: str, remap_path: str, check
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def pending(commits: DataFrame, edges: DataFrame, heads: DataFrame, remap: DataFrame) -> DataFrame:
+    """Where an import resumes: the commits reachable from heads (id) that no converted one (remap: git_oid) reaches."""
+    return walk.walk(commits, edges, heads, remap.select(F.col("git_oid").alias("id")))
+
+
+def pruned(remap: DataFrame, commits: DataFrame, edges: DataFrame, heads: DataFrame) -> DataFrame:
+    """The remap without commits that no head reaches any more."""
+    return remap.join(walk.closure(edges, heads).select(F.col("id").alias("git_oid")), "git_oid", "left_semi")
+
+
+def remap_document(remap: DataFrame) -> DataFrame:
+    """The remap as lines of JSON, one for each pair; read back by from_documents()."""
+    return remap.select(F.to_json(F.struct("git_oid", "oid")).alias("line"))
+
+
+def from_documents(lines: DataFrame) -> DataFrame:
+    return lines.select(F.from_json("line", "git_oid string, oid string").alias("x")).select("x.*")
