@@ -14,8 +14,8 @@ def patterns(paths: DataFrame, path: str = "path") -> DataFrame:
     return paths.select(clean_path(F.col(path)).alias("pattern")).where("pattern <> ''").distinct()
 
 
-def matching(rows: DataFrame, include: DataFrame | None, path: str = "path") -> DataFrame:
-    """Rows whose path is a pattern or lies under one; the empty path always is.
+def matching(rows: DataFrame, include: DataFrame | None, path: str = "path", all_if_none: bool = True) -> DataFrame:
+    """Rows whose path is a pattern or lies under one; the empty path always is. Without patterns all rows are, or none (all_if_none).
 
     An equi-join on the path and its ancestors, so that many patterns need no product with the rows.
     """
@@ -23,7 +23,7 @@ def matching(rows: DataFrame, include: DataFrame | None, path: str = "path") ->
         return rows
     include = written(include, "include")  # used twice, and it may be a long plan
     if include.isEmpty():
-        return rows
+        return rows if all_if_none else rows.limit(0)
     own = F.array_distinct(F.concat(ancestors(F.col(path)), F.array(path)))
     keys = rows.select(path).distinct().select(path, F.explode(own).alias("pattern"))
     hits = keys.join(include, "pattern", "left_semi").select(path).distinct()

@@ -49,7 +49,7 @@ def restorable(rows: DataFrame, paths: DataFrame) -> DataFrame:
 
 def conflicts(changes: DataFrame, rows: DataFrame) -> DataFrame:
     """Changes between two heads that touch locally modified paths."""
-    return matching(changes, rows.where(F.col("status") == MODIFIED).select(F.col("path").alias("pattern")).distinct())
+    return matching(changes, rows.where(F.col("status") == MODIFIED).select(F.col("path").alias("pattern")).distinct(), all_if_none=False)
 
 
 def restored(head: DataFrame, working: DataFrame, paths: DataFrame) -> DataFrame:

@@ -109,3 +109,43 @@ def test_stream_is_idempotent(spark, tmp_path):
         spark.createDataFrame(rows, "git_oid string, content string").coalesce(1).write.mode("append").parquet(source)
         ingest.follow(spark, source, "git_oid string, content string", remap, str(tmp_path / "check")).awaitTermination()
         assert spark.read.parquet(remap).count() == k + 2
+
+
+def test_walks_of_random_histories(spark):
+    """Closures and generations of merges within merges, with rename sources, against plain recursion."""
+    rng = random.Random(2)
+    parents = {k: rng.sample(range(max(0, k - 9), k), min(k, rng.choice([0, 1, 1, 1, 2, 3]))) for k in range(120)}
+    renames = {k: rng.randrange(k) for k in range(1, 120) if rng.random() < 0.2}
+    c = spark.createDataFrame([(k, 0) for k in parents], "id long, generation int")
+    e = spark.createDataFrame([(k, i, p) for k, ps in parents.items() for i, p in enumerate(ps)], "id long, ord int, parent_id long")
+    s = spark.createDataFrame(list(renames.items()), "id long, source_id long")
+
+    def reach(starts, first=False):
+        seen, todo = set(), list(starts)
+        while todo:
+            if (k := todo.pop()) not in seen:
+                seen.add(k)
+                todo += parents[k][:1] if first else parents[k]
+        return seen
+
+    starts = spark.createDataFrame([(119,), (101,), (119,)], "id long")
+    for first in (False, True):
+        got = [r.id for r in walk.closure(e, starts, first).collect()]
+        assert len(got) == len(set(got)) and set(got) == reach([119, 101], first)
+    for sources in (None, s):
+        want = {}
+        for k, ps in parents.items():
+            want[k] = 1 + max([want[p] for p in ps] + ([want[renames[k]]] if sources is not None and k in renames else []), default=0)
+        assert {r.id: r.generation for r in walk.generations(c, e, sources).collect()} == want
+    rows = walk.generations(c, e)
+    order = [r.id for r in walk.emission(rows).collect()]
+    stop = spark.createDataFrame([(order[30],), (order[50],)], "id long")
+    assert {r.id for r in walk.stopped(rows, stop).collect()} == set(order[:31])
+    assert walk.stopped(rows, stop.limit(0)).count() == 120
+
+
+def test_a_long_chain_takes_few_rounds(spark):
+    c = spark.range(10_000).select("id")
+    e = c.where("id > 0").selectExpr("id", "0 AS ord", "id - 1 AS parent_id")
+    assert walk.closure(e, spark.createDataFrame([(9_999,)], "id long"), first_parent=True).count() == 10_000
+    assert walk.generations(c, e).where("generation = id + 1").count() == 10_000
