@@ -1,8 +1,11 @@
 """The corpus pipeline: five stages, each on the table that its predecessor wrote.
 
 Quality rules and toxicity drop documents, near duplicates leave one document of each group, secret scans replace secrets by a mark, and packing
-gives the pieces of what is left. SQL can't express the grammar, the components or the packing, so there is no ORACLE_SQL; the stages are
-tested against brute force.
+gives the pieces of what is left. SQL can't express the grammar or the packing, so there is no ORACLE_SQL: the operators are tested against brute force each, the
+stages by the rows that must stay, go or change on a small corpus.
+
+A null text has no words and goes with the quality rules; a null doc_id is kept like any other, and as a near duplicate stays; repeated rows stay or go together. An empty table
+gives empty ones; columns beside those of documents go along, whatever their names, up to the packing, whose rows are pieces.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, queries.SINGLE, queries.PATTERN)
+    return packing.pack(docs, queries.SINGLE, queries.PATTERN, packing.special_tokens(queries.SINGLE_JSON))
 
 
 STAGES = [
