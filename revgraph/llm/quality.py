@@ -44,7 +44,7 @@ def with_histograms(rows: DataFrame) -> DataFrame:
         "chars": F.array(*(a - b for a, b in zip(rest, rest[1:], strict=False)), rest[-1]),
         # Letters, white space and digits are gone by then.
         "n_symbols": F.length("rest4") - F.length(F.regexp_replace("rest4", "[#*$%&|<>]+", "")),
-        "low": F.split(F.regexp_replace(F.lower("rest0"), r"[\x20\x09-\x0D.,;:!?]+", " "), " "),
+        "low": F.split(F.lower("rest0"), r"[\x20\x09-\x0D.,;:!?]+"),
     }).drop(*(f"rest{k}" for k in range(1, len(CLASSES) + 1)))
     # The common words of a text as a short string in which each is counted. Expressions over an array stay small whatever its length, unlike a column for each word.
     few = F.filter("low", lambda w: (F.octet_length(w) <= LONGEST) & (w != "") & (F.instr(F.lit(BARRED), F.concat(F.lit("|"), w, F.lit("|"))) > 0))
