@@ -24,9 +24,6 @@ COMMON_WORDS = {
     "es": "de la que el en y a los se del las un por con no una".split(),
 }
 WORD_LIST = sorted({w for words in COMMON_WORDS.values() for w in words})
-#: The words between bars, in one string.
-BARRED = "".join(f"|{w}|" for w in WORD_LIST)
-LONGEST = max(map(len, WORD_LIST))
 #: The greatest distances to the nearest reference that are fine.
 MOST_CHARS, MOST_WORDS = 0.21, 0.33
 SPACE = r"[\x20\x09-\x0D]"
@@ -47,7 +44,7 @@ def with_histograms(rows: DataFrame) -> DataFrame:
         "low": F.split(F.lower("rest0"), r"[\x20\x09-\x0D.,;:!?]+"),
     }).drop(*(f"rest{k}" for k in range(1, len(CLASSES) + 1)))
     # The common words of a text as a short string in which each is counted. Expressions over an array stay small whatever its length, unlike a column for each word.
-    few = F.filter("low", lambda w: (F.octet_length(w) <= LONGEST) & (w != "") & (F.instr(F.lit(BARRED), F.concat(F.lit("|"), w, F.lit("|"))) > 0))
+    few = F.filter("low", lambda w: w.isin(*WORD_LIST))  # a hash set, once planned
     rows = rows.withColumn("few", F.concat(F.lit("|"), F.array_join(few, "||"), F.lit("|")))
     found = F.transform(F.array(*(F.lit(f"|{w}|") for w in WORD_LIST)), lambda w: ((F.octet_length("few") - F.octet_length(F.replace("few", w, F.lit("")))) / F.octet_length(w)).cast("int"))
     return rows.withColumn("common", found).drop("low", "few")
