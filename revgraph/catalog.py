@@ -481,10 +481,29 @@ def diff_headers(spark: SparkSession, sf: str) -> DataFrame:
     return linediff.headers(rows.withColumn("action", action))
 
 
+def changed_texts(spark: SparkSession, sf: str) -> DataFrame:
+    side = lambda which, name: fx.files(spark, sf, which, content=True).select("path", F.col("content").alias(name))
+    return side("a", "old").join(side("b", "new"), "path").where("old <> new")
+
+
 @query()
 def unified_diff(spark: SparkSession, sf: str) -> DataFrame:
-    side = lambda which, name: fx.files(spark, sf, which, content=True).select("path", F.col("content").alias(name))
-    return linediff.unified(side("a", "old").join(side("b", "new"), "path").where("old <> new"))
+    return linediff.unified(changed_texts(spark, sf))
+
+
+def side_lines(which: str, sign: int) -> str:
+    """Lines with their newlines, each with a sign."""
+    texts = f"SELECT path, content, string_split(content, chr(10)) AS l FROM ({fx.FILES[which]})"
+    rows = f"SELECT path, l[i] || CASE WHEN i < len(l) THEN chr(10) ELSE '' END AS line FROM (SELECT path, l, unnest(range(1, CAST(len(l) + 1 AS BIGINT))) AS i FROM ({texts}))"
+    return f"SELECT path, line, {sign} AS n FROM ({rows}) WHERE line <> ''"
+
+
+@query(f"""WITH p AS (SELECT a.path FROM ({fx.FILES['a']}) a JOIN ({fx.FILES['b']}) b ON a.path = b.path WHERE a.content <> b.content)
+SELECT path, line, CAST(sum(n) AS BIGINT) AS balance FROM ({side_lines('a', -1)} UNION ALL {side_lines('b', 1)}) WHERE path IN (SELECT path FROM p) GROUP BY path, line HAVING sum(n) <> 0""")
+def line_balance(spark: SparkSession, sf: str) -> DataFrame:
+    """How many more times a line is added than removed, by the line difference."""
+    sign = F.expr("case sign when '+' then 1 when '-' then -1 else 0 end")
+    return linediff.script(changed_texts(spark, sf)).groupBy("path", "line").agg(F.sum(sign).alias("balance")).where("balance <> 0")
 
 
 def chain(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

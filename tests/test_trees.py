@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,10 +135,53 @@ def test_status_and_restore(spark):
 def test_line_difference(spark):
     got = linediff.unified(spark.createDataFrame([("f", "a\nb\nc\n", "a\nx\nc\n")], "path string, old string, new string"), 1).first()
     assert got.hunks == "@@ -1,3 +1,3 @@\n a\n-b\n+x\n c\n"
+    rows = [("same", "a\n", "a\n"), ("added", None, "x\n"), ("gone", "x\ny\n", None), ("end", "a\nb", "a\nb\n"), ("none", None, None)]
+    got = {r.path: r.hunks for r in linediff.unified(spark.createDataFrame(rows, "path string, old string, new string")).collect()}
+    assert got == {
+        "same": "",
+        "added": "@@ -0,0 +1 @@\n+x\n",
+        "gone": "@@ -1,2 +0,0 @@\n-x\n-y\n",
+        "end": "@@ -1,2 +1,2 @@\n a\n-b\n\\ No newline at end of file\n+b\n",
+        "none": "",
+    }
     got = linediff.hunk_parts(spark.createDataFrame([("@@ -1,3 +1,3 @@ int f()\n",)], "header string")).first()
     assert (got.ranges, got.section) == ("@@ -1,3 +1,3 @@", " int f()")
 
 
+def applied(old, hunks):
+    """What a patch makes of a text; its context and removed lines must be there."""
+    lines, out, at = re.findall(r"[^\n]*\n|[^\n]+", old), [], 0
+    hunks = hunks.replace("\n\\ No newline at end of file\n", "\0\n")
+    for head, body in re.findall(r"(@@[^\n]*@@)\n((?:[ +-][^\n]*\n)*)", hunks):
+        start, count, new_start, new_count = (int(x or 1) for x in re.fullmatch(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@", head).groups())
+        begin = start - (count > 0)
+        out += lines[at:begin]
+        assert len(out) == new_start - (new_count > 0)
+        rows = [(x[0], x[1:].replace("\0\n", "")) for x in body.splitlines(True)]
+        assert [x for sign, x in rows if sign != "+"] == lines[begin : begin + count] and sum(sign != "-" for sign, _ in rows) == new_count
+        out += [x for sign, x in rows if sign != "-"]
+        at = begin + count
+    return "".join(out + lines[at:])
+
+
+def test_line_differences_of_random_texts(spark):
+    draw, rows = random.Random(5), []
+    for k in range(150):
+        old = [draw.choice("abcdefghijklmnopq"[: draw.choice((2, 6, 17))]) + f"{draw.choice((0, 0, n))}\n" for n in range(draw.randrange(30))]
+        new = [x for x in old if draw.random() > 0.2]
+        for _ in range(draw.randrange(5)):
+            new.insert(draw.randrange(len(new) + 1), draw.choice(["a0\n", "new\n", f"{draw.random()}\n"]))
+        if draw.random() < 0.3:
+            cut = draw.randrange(len(new) + 1)
+            new = new[cut:] + new[:cut]
+        old, new = ("".join(x)[: -1 if draw.random() < 0.2 else None] for x in (old, new))
+        rows.append((str(k), old, new))
+    for context in (0, 3):
+        got = {r.path: r.hunks for r in linediff.unified(spark.createDataFrame(rows, "path string, old string, new string"), context).collect()}
+        assert all(applied(old, got[k]) == new for k, old, new in rows)
+    assert linediff.unified(spark.createDataFrame([], "path string, old string, new string")).count() == 0
+
+
 def test_overlay(spark):
     edits = spark.createDataFrame([(1, "remove", "bin", None, None, None), (2, "upsert", "new", 1, "x", 1)], "seq int, action string, path string, type int, oid string, size long")
     assert {r.path for r in tree.staged(files(spark, LIB), edits).collect()} == {"lib/test.h", "new"}
