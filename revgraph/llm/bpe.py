@@ -17,17 +17,28 @@ import functools
 import gc
 import re
 from collections.abc import Iterable
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from revgraph.llm.common import WHITE_SPACE
 
 #: Cuts a text so that only what lies between the cuts needs the full pattern.
 COARSE = re.compile(rf" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
+#: What Arrow's cutting doesn't serve: an empty text, a zero, other white space than space and line end, two of these together, or one at either end.
+IRREGULAR = rf"^$|[\x00{WHITE_SPACE.replace(chr(9) + '-' + chr(13) + ' ', chr(9) + chr(11) + '-' + chr(13))}]|[ \n][ \n]|^[ \n]|[ \n]$"
+MARKS = ".,!?;:"
 NONE = np.int32(1 << 30)
 
 
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each row, as many as its count."""
+    return np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
+
+
 class Ranks:
     """Ranks of a vocabulary, and of each pair of its entries whose concatenation is an entry."""
 
@@ -46,6 +57,8 @@ class Ranks:
         self.keys = np.array([p for p, _ in pairs] + [np.iinfo(np.int64).max], np.int64)
         self.ranks = np.array([r for _, r in pairs] + [NONE], np.int32)
         self.single = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
+        #: Ranks of all pairs of single bytes, with which every word begins.
+        self.first = self.pair(np.repeat(self.single, 256), np.tile(self.single, 256))
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
@@ -74,8 +87,9 @@ def merge_rows(words: list[bytes], width: int, r: Ranks) -> list[bytes]:
     after = np.append(place + 1, -1)
     after[np.arange(n) * width + length - 1] = -1
     tree = np.full(n * w2 + 1, NONE, np.int32)
-    both = cell[after[cell] >= 0]
-    tree[both // width * w2 + width + both % width] = r.pair(symbol[both], symbol[both + 1])
+    has = np.nonzero(after[cell] >= 0)[0]
+    both = cell[has]
+    tree[both // width * w2 + width + both % width] = r.first[joined[has].astype(np.int64) << 8 | joined[has + 1]]
     grid = tree[:-1].reshape(n, w2)
     at = width
     while at > 1:
@@ -120,66 +134,83 @@ def merge_rows(words: list[bytes], width: int, r: Ranks) -> list[bytes]:
     return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def encode_words(words: Iterable[str], r: Ranks, cells: int = 1 << 18) -> dict[str, bytes]:
+def encode_raw(raws: list[bytes], r: Ranks, cells: int = 1 << 16) -> list[bytes]:
     """Ids (little-endian unsigned 32-bit) of each word; rows of a width go through the tree in blocks of `cells` cells."""
-    out: dict[str, bytes] = {}
-    by_width: dict[int, tuple[list[str], list[bytes]]] = {}
-    for word in words:
-        raw = word.encode()
-        if (known := r.ids.get(raw)) is not None:
-            out[word] = known.to_bytes(4, "little")
-        else:
-            names, group = by_width.setdefault((len(raw) - 1).bit_length(), ([], []))
-            names.append(word)
-            group.append(raw)
-    for power, (names, group) in by_width.items():
-        step = max(1, cells >> power)
+    out = [None if k is None else k.to_bytes(4, "little") for k in map(r.ids.get, raws)]
+    rows = np.array([i for i, known in enumerate(out) if known is None], np.int64)
+    power = np.frexp(np.fromiter(map(len, raws), np.int64, len(raws))[rows] - 1)[1]
+    for p in np.unique(power).tolist():
+        group, step = rows[power == p].tolist(), max(1, cells >> p)
         for k in range(0, len(group), step):
-            out.update(zip(names[k : k + step], merge_rows(group[k : k + step], 1 << power, r), strict=True))
+            part = group[k : k + step]
+            for i, ids in zip(part, merge_rows([raws[i] for i in part], 1 << p, r), strict=True):
+                out[i] = ids
     return out
 
 
+def encode_words(words: Iterable[str], r: Ranks) -> dict[str, bytes]:
+    """Ids of each word."""
+    words = list(words)
+    return dict(zip(words, encode_raw([x.encode() for x in words], r), strict=True))
+
+
 class Encoder:
     """Ids of texts, as bytes of little-endian unsigned 32-bit numbers."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 400_000):
+    def __init__(self, path: str, pattern: str, limit: int = 200_000):
         self.r, self.split, self.limit = ranks(path), regex.compile(pattern).findall, limit
-        #: By chunk, as chunks() gives them, and by match of the pattern.
+        #: By chunk, as chunks() gives them.
         self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        #: What was known before; what occurs again is taken over.
+        self.before: dict[str, bytes] = {}
 
     @staticmethod
-    def chunks(text: str) -> list[str]:
-        r"""Chunks, written with their white space in a short form: a chunk after one space stands without it, any other with a leading \0.
+    def chunks(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        r"""Chunks of all texts, one after another, and how many each text has. They are written with their white space in a short form: a chunk after one space stands
+        without it, any other with a leading \0.
 
-        Where white space is only single spaces and line ends between words, str.split does the cutting.
+        Where white space is only single spaces and line ends between words, Arrow does the cutting.
         """
-        parts = text.replace("\n", " \n").split(" ")
-        if "\0" not in text and "" not in parts and "\n" not in parts and len(text.split()) == len(parts):
-            parts[0] = "\0" + parts[0]
-            return parts
-        return ["\0" + x for x in COARSE.findall(text)]
-
-    def cut(self, chunk: str) -> list[str]:
-        """Matches of the pattern; letters alone, or before one mark, need no search."""
-        if chunk.isalpha():
-            return [" " + chunk]
-        if chunk[-1] in ".,!?;:" and chunk[:-1].isalpha():
-            return [" " + chunk[:-1], chunk[-1]]
-        return self.split(chunk[1:] if chunk[0] == "\0" else chunk if chunk[0] == "\n" else " " + chunk)
-
-    def learn(self, texts: list[list[str]]) -> None:
-        new = set().union(*texts) - self.known.keys()
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = set().union(*texts)
-        if len(self.pieces) > self.limit:
-            self.pieces.clear()
-        cut = list(map(self.cut, new))
-        missing = {x for pieces in cut for x in pieces} - self.pieces.keys()
-        self.pieces.update(encode_words(missing, self.r))
-        get = self.pieces.__getitem__
-        self.known.update(zip(new, (get(x[0]) if len(x) == 1 else b"".join(map(get, x)) for x in cut), strict=True))
+        rows = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(rows, IRREGULAR).to_numpy(zero_copy_only=False)
+        zero, nothing = (pa.scalar(x, pa.large_string()) for x in ("\0", ""))
+        plain = pc.binary_join_element_wise(zero, rows.filter(pa.array(~odd)), nothing)
+        plain = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+        count = np.zeros(len(texts), np.int64)
+        count[~odd] = pc.list_value_length(plain).to_numpy()
+        if not odd.any():
+            return plain.flatten(), count
+        cut = [COARSE.findall(texts[i]) for i in np.nonzero(odd)[0]]
+        count[odd] = [len(x) for x in cut]
+        both = pa.concat_arrays([plain.flatten(), pa.array(["\0" + x for row in cut for x in row], pa.large_string())])
+        # Back to the order of the texts.
+        first = np.zeros(len(texts), np.int64)
+        order = np.concatenate((np.nonzero(~odd)[0], np.nonzero(odd)[0]))
+        first[order] = np.cumsum(count[order]) - count[order]
+        return both.take(pa.array(spread(first, count))), count
+
+    def learn(self, chunks: list[str]) -> None:
+        if len(self.known) > self.limit // 2:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        known.update([(x, before[x]) for x in chunks if x in before and x not in known])
+        new = [x for x in chunks if x not in known]
+        # Letters alone, or before one mark, need no search.
+        words = [x for x in new if x.isalpha()]
+        known.update(zip(words, encode_raw([b" " + x.encode() for x in words], self.r), strict=True))
+        other = [x for x in new if x not in known]
+        marked = [x for x in other if x[-1] in MARKS and x[:-1].isalpha()]
+        words = list({w for x in marked if (w := x[:-1]) not in known})
+        known.update(zip(words, encode_raw([b" " + x.encode() for x in words], self.r), strict=True))
+        known.update([(x, known[x[:-1]] + self.marks[x[-1]]) for x in marked])
+        other = [x for x in other if x not in known]
+        cut = [self.split(x[1:] if x[0] == "\0" else x if x[0] == "\n" else " " + x) for x in other]
+        get = encode_words({x for pieces in cut for x in pieces}, self.r).__getitem__
+        known.update((x, b"".join(map(get, pieces))) for x, pieces in zip(other, cut, strict=True))
+
+    @functools.cached_property
+    def marks(self) -> dict[str, bytes]:
+        return encode_words(MARKS, self.r)
 
     def encode(self, texts: list[str], step: int = 1 << 22) -> Iterable[bytes]:
         """In slices of about `step` characters, for bounded memory."""
@@ -190,11 +221,18 @@ class Encoder:
                 size += len(texts[end]) or 1
                 end += 1
             gc.disable()  # nothing cyclic is made here, and the dictionaries are large
-            cut = [self.chunks(x) if x else [] for x in texts[at:end]]
-            self.learn(cut)
+            chunks, count = self.chunks(texts[at:end])
+            coded = chunks.dictionary_encode()
+            different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            self.learn(different)
             gc.enable()
-            get = self.known.__getitem__
-            yield from (b"".join(map(get, x)) for x in cut)
+            ids = list(map(self.known.__getitem__, different))
+            length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            of = coded.indices.to_numpy()
+            n = length[of]
+            flat = np.frombuffer(b"".join(ids), "<u4")[spread((np.cumsum(length) - length)[of], n)].tobytes()
+            ends = 4 * np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(count)))]
+            yield from (flat[a:b] for a, b in pairwise(ends.tolist()))
             at = end
 
     def decode(self, ids: bytes) -> bytes:

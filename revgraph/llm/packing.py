@@ -56,21 +56,22 @@ def pieces(docs: DataFrame, path: str, pattern: str, special: dict[str, int], en
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, at, seen = encoder(path, pattern), TaskContext.get().partitionId(), [0] * (size // unit + 1)
         for batch in batches:
-            rows = []
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), encoded(e, texts, special), strict=True):
-                ids += end
-                n = len(ids) // 4
-                for start in range(0, n, size):
-                    length = min(size, n - start)
-                    c = -(-length // unit)
-                    rows.append((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, at, c, seen[c]))
-                    seen[c] += 1
-            columns = zip(*rows, strict=True) if rows else [[]] * 8
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64()], strict=True)],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "class", "number"],
-            )
+            for k in range(0, batch.num_rows, 1000):  # so that few texts are held as strings
+                part, rows = batch.slice(k, 1000), []
+                texts = [x or "" for x in part.column(1).to_pylist()]
+                for doc, ids in zip(part.column(0).to_pylist(), encoded(e, texts, special), strict=True):
+                    ids += end
+                    n = len(ids) // 4
+                    for start in range(0, n, size):
+                        length = min(size, n - start)
+                        c = -(-length // unit)
+                        rows.append((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, at, c, seen[c]))
+                        seen[c] += 1
+                columns = zip(*rows, strict=True) if rows else [[]] * 8
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64()], strict=True)],
+                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "class", "number"],
+                )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, PIECES)
 

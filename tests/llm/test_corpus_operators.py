@@ -37,6 +37,18 @@ def test_encoder_against_the_library():
             assert e.decode(ids) == text.encode()
 
 
+def test_encoder_remembers_what_recurs(monkeypatch):
+    # A full memory is replaced, but a word that occurs again and again is merged once.
+    merged, real = [], bpe.merge_rows
+    monkeypatch.setattr(bpe, "merge_rows", lambda words, *more: merged.extend(words) or real(words, *more))
+    e = bpe.Encoder(queries.SINGLE, public_tokenizers.PATTERN, limit=40)
+    for k in range(50):
+        other = [f"q{k % 26:c}x{chr(97 + k // 26)}zvk" * 2 + chr(97 + i) for i in range(10)]
+        list(e.encode([" ".join(["x", "qqzzvvkkxx", *other])]))
+        assert len(e.known) + len(e.before) <= 80
+    assert merged.count(b" qqzzvvkkxx") == 1
+
+
 def test_digests(spark):
     docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").withColumn("ids", F.lit("clash"))
     known = encoding(queries.MULTI)
