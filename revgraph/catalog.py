@@ -526,8 +526,8 @@ def walk_long_chain(spark: SparkSession, sf: str) -> DataFrame:
     """One linear history of all events."""
     c, e = chain(spark, sf)
     ends = c.agg(F.max(F.when(F.col("id") % 7 == 0, F.col("id"))).alias("id"), (F.min("id") + 40).alias("hidden"))
-    found = walk.closure(e, ends.select("id"), first_parent=True)
-    return found.join(walk.closure(e, ends.select(F.col("hidden").alias("id")), first_parent=True), "id", "left_anti")
+    first_parents = walk.Contracted(e)
+    return first_parents.closure(ends.select("id")).join(first_parents.closure(ends.select(F.col("hidden").alias("id"))), "id", "left_anti")
 
 
 @query(f"""WITH RECURSIVE {GRAPH}, n AS (SELECT id, parent_id FROM e UNION SELECT c.id, p.id FROM c JOIN c p ON p.conv_id = c.conv_id - 1 AND p.turn = c.turn + 1 WHERE c.conv_id % 5 = 0),

@@ -3,11 +3,14 @@
 A child's generation exceeds its parents'. Chains of first parents are followed by doubling: a table of jumps of 1, 2, 4, ... steps takes a set of commits to all
 their first-parent ancestors in as many joins as the logarithm of the longest chain. Where all parents count, the side parents of what was reached begin the next
 chains, so the rounds are as many as merges lie within one another, not as a history is long. What was reached is a table of its own, so the plan doesn't grow with depth.
+
+Doubling moves all edges once for each doubling. Where only first parents count and edges are many, they are contracted before: each round takes some quarter of the
+commits out of their chains, no two of them neighbours, until few edges are left to be doubled; then the rounds are gone back. So what is moved is in proportion to the edges.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,15 +43,52 @@ def along(jumps: Jumps, new: DataFrame, seen: list[DataFrame]) -> list[DataFrame
         k += 1
 
 
+class Contracted:
+    """First-parent edges in rounds, each of which has fewer than the one before."""
+
+    def __init__(self, edges: DataFrame, most: int = 200_000):
+        heads = lambda c, k: F.pmod(F.xxhash64(c, F.lit(k)), F.lit(2)) == 0
+        #: For each round, edges that lead to a commit taken out (at, via) and where that one's own edge leads (via, to).
+        self.into: list[DataFrame] = []
+        self.out: list[DataFrame] = []
+        now = written(edges.where("ord = 0 and id is not null and parent_id is not null").select(F.col("id").alias("at"), F.col("parent_id").alias("to")).distinct(), "edges")
+        while now.count() > most:
+            k = len(self.out)
+            # A commit with heads goes if its parent has tails, so its children and its parent stay.
+            out = now.where(heads("at", k) & ~heads("to", k)).select(F.col("at").alias("via"), "to")
+            led = now.where(heads("to", k)).join(out.withColumnRenamed("to", "then"), F.col("to") == F.col("via"), "left").select("at", F.coalesce("then", "to").alias("to"), "via")
+            other = now.where(~heads("at", k) & ~heads("to", k)).select("at", "to", F.lit(None).cast(now.schema["at"].dataType).alias("via"))
+            both = written(led.union(other), "contracted")
+            self.into.append(both.where("via is not null").select("at", "via"))
+            self.out.append(out)
+            now = both.select("at", "to")
+        self.jumps = Jumps(now.select(F.col("at").alias("id"), F.lit(0).alias("ord"), F.col("to").alias("parent_id")))
+
+    def closure(self, starts: DataFrame) -> DataFrame:
+        """id of all commits reachable from starts (id), themselves included."""
+        new, settled = written(starts.select("id").where("id is not null").distinct(), "level"), []
+        for out in self.out:
+            # A start that is taken out is settled by itself, and goes on where it leads.
+            led = written(new.join(out, F.col("id") == F.col("via"), "left").select("id", "to"), "level")
+            settled.append(led.where("to is not null").select("id"))
+            new = led.select(F.coalesce("to", "id").alias("id")).distinct()
+        found = along(self.jumps, written(new, "level"), [])
+        for into, given in zip(reversed(self.into), reversed(settled), strict=True):
+            met = into.join(reduce(DataFrame.union, found).select(F.col("id").alias("at")), "at", "left_semi").select(F.col("via").alias("id"))
+            found.append(written(met.union(given), "level"))
+        found = reduce(DataFrame.union, found)
+        return found.distinct() if self.into else found
+
+
 def closure(edges: DataFrame, starts: DataFrame, first_parent: bool = False) -> DataFrame:
     """id of all commits reachable from starts (id), themselves included."""
+    if first_parent:
+        return Contracted(edges).closure(starts)
     jumps, side = Jumps(edges), edges.where("ord > 0").select("id", F.col("parent_id").alias("to"))
     new, seen = written(starts.select("id").where("id is not null").distinct(), "level"), []
     while True:
         grown = along(jumps, new, seen)
         seen = seen + grown
-        if first_parent:
-            break
         found = reduce(DataFrame.union, grown).join(side, "id").select(F.col("to").alias("id")).where("id is not null").distinct()
         new = written(reduce(lambda d, have: d.join(have, "id", "left_anti"), seen, found), "level")
         if new.isEmpty():
@@ -63,9 +103,10 @@ def walk(commits: DataFrame, edges: DataFrame, roots: DataFrame, hidden: DataFra
     if generation_from is not None:
         near = commits.where(F.col("generation") >= generation_from).select(F.col("id").alias("parent_id"))
         edges = edges.join(near, "parent_id", "left_semi")
-    found = closure(edges, roots, first_parent)
+    reached = Contracted(edges).closure if first_parent else partial(closure, edges)
+    found = reached(roots)
     if hidden is not None:
-        found = found.join(closure(edges, hidden, first_parent), "id", "left_anti")
+        found = found.join(reached(hidden), "id", "left_anti")
     rows = commits.join(found, "id", "left_semi")
     if generation_from is not None:
         rows = rows.where(F.col("generation") >= generation_from)

@@ -43,7 +43,7 @@ def test_encoder_remembers_what_recurs(monkeypatch):
     monkeypatch.setattr(bpe, "merge_rows", lambda words, *more: merged.extend(words) or real(words, *more))
     e = bpe.Encoder(queries.SINGLE, public_tokenizers.PATTERN, limit=40)
     for k in range(50):
-        other = [f"q{k % 26:c}x{chr(97 + k // 26)}zvk" * 2 + chr(97 + i) for i in range(10)]
+        other = [f"q{chr(97 + k % 26)}x{chr(97 + k // 26)}zvk{chr(97 + i)}" for i in range(10)]
         list(e.encode([" ".join(["x", "qqzzvvkkxx", *other])]))
         assert len(e.known) + len(e.before) <= 80
     assert merged.count(b" qqzzvvkkxx") == 1

@@ -149,3 +149,20 @@ def test_a_long_chain_takes_few_rounds(spark):
     e = c.where("id > 0").selectExpr("id", "0 AS ord", "id - 1 AS parent_id")
     assert walk.closure(e, spark.createDataFrame([(9_999,)], "id long"), first_parent=True).count() == 10_000
     assert walk.generations(c, e).where("generation = id + 1").count() == 10_000
+
+
+def test_contracted_first_parents(spark):
+    rng = random.Random(7)
+    parent = {k: k - 1 if rng.random() < 0.9 else rng.randrange(k) for k in range(1, 400)}
+    edges = spark.createDataFrame([(k, 0, p) for k, p in parent.items()], "id long, ord int, parent_id long")
+    some = walk.Contracted(edges, most=40)
+    assert len(some.into) > 5
+    moved = [x.count() for x in some.into]
+    assert sum(moved) <= 399 + 40 and all(x.jumps.tables[0].count() <= 40 for x in [some])
+    for starts in ([399], [5, 250, 251, 398], [0], [1000], []):
+        want = set(starts)
+        for k in starts:
+            while k in parent:
+                want.add(k := parent[k])
+        got = [r.id for r in some.closure(spark.createDataFrame([(k,) for k in [*starts, None]], "id long")).collect()]
+        assert sorted(got) == sorted(want)
