@@ -47,7 +47,7 @@ class Hashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -256,8 +256,8 @@ def grouped(lists: DataFrame, block: int = 2048) -> DataFrame:
     return dealt(members, block).join(own, "class").select("group", "class", "n", "own", "across", F.array("k").alias("k"))
 
 
-def shared_counts(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
-    """How many elements each two sets share, by products of incidence matrices over `width` elements at a time."""
+def shared_counts(sets: list[np.ndarray], width: int = 1024) -> np.ndarray:
+    """How many elements each two sets share, by products of incidence matrices over `width` elements at a time, some rows at a time."""
     sizes = [len(x) for x in sets]
     element, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     place = np.cumsum(count > 1) - 1
@@ -272,7 +272,8 @@ def shared_counts(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
         a, b = np.searchsorted(column, (k, k + width))
         x = np.zeros((len(sets), min(width, int(column[-1]) + 1 - k)), exact)
         x[row[a:b], column[a:b] - k] = 1
-        total += x @ x.T
+        for i in range(0, len(sets), 256):
+            total[i : i + 256] += x[i : i + 256] @ x.T
     return total
 
 
@@ -355,9 +356,11 @@ def able(of: np.ndarray, n: np.ndarray, own: np.ndarray, across: np.ndarray, key
     they share what is left of either at most. Keys are in order; pos: their places among all shingles of the class."""
     common = shared_counts(keys)
     last = np.array([x[-1] for x in keys])
-    # upto[y, x]: at least so many shingles of y come up to the last listed one of x.
-    upto = np.stack([np.concatenate(([0], p + 1)).astype(np.int32)[np.searchsorted(k, last, "right")] for k, p in zip(keys, pos, strict=True)])
-    rest = n.astype(np.int32)[:, None] - upto
+    # At least upto[x] shingles of y come up to the last listed one of x; rest[y, x]: the others.
+    rest = np.empty(common.shape, np.int32)
+    for i, (k, p) in enumerate(zip(keys, pos, strict=True)):
+        upto = np.concatenate(([0], p + 1)).astype(np.int32)[np.searchsorted(k, last, "right")]
+        rest[i] = int(n[i]) - upto
     return stars(of, fitting(n, own, across, lambda part: common[part] + np.minimum(rest[part], rest[:, part].T)))
 
 
