@@ -157,7 +157,7 @@ def encode_words(words: Iterable[str], r: Ranks) -> dict[str, bytes]:
 class Encoder:
     """Ids of texts, as bytes of little-endian unsigned 32-bit numbers."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 200_000):
+    def __init__(self, path: str, pattern: str, limit: int = 100_000):
         self.r, self.split, self.limit = ranks(path), regex.compile(pattern).findall, limit
         #: By chunk, as chunks() gives them.
         self.known: dict[str, bytes] = {}
@@ -212,7 +212,7 @@ class Encoder:
     def marks(self) -> dict[str, bytes]:
         return encode_words(MARKS, self.r)
 
-    def encode(self, texts: list[str], step: int = 1 << 22) -> Iterable[bytes]:
+    def encode(self, texts: list[str], step: int = 1 << 20) -> Iterable[bytes]:
         """In slices of about `step` characters, for bounded memory."""
         at = 0
         while at < len(texts):

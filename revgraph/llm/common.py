@@ -12,7 +12,15 @@ from pyspark.sql import functions as F
 WHITE_SPACE = "\t-\r \x85\xa0  -     　"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Batches of at most `rows` rows between Spark and Python: with whole texts, 10,000 (Spark's default) take 100 MB and more in each task on both sides. No result depends on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, independent of the executors that computed it."""
+    small_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/llm-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

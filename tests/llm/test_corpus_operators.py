@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -265,3 +266,11 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in kept.collect()} == set(range(60))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.collect()} == set(range(60))
+
+
+def test_batches_of_texts_are_bounded(spark):
+    # The repetitions of a long text would come to Python in one batch otherwise.
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("a word").alias("text"))
+    packing.pack(docs, queries.SINGLE, queries.PATTERN).count()
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    assert max(r.n for r in sizes) <= 1000
