@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import base64
 import functools
-import gc
 import re
+import string
 from collections.abc import Iterable
 from itertools import pairwise
 
@@ -30,7 +30,8 @@ from revgraph.llm.common import WHITE_SPACE
 COARSE = re.compile(rf" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
 #: What Arrow's cutting doesn't serve: an empty text, a zero, other white space than space and line end, two of these together, or one at either end.
 IRREGULAR = rf"^$|[\x00{WHITE_SPACE.replace(chr(9) + '-' + chr(13) + ' ', chr(9) + chr(11) + '-' + chr(13))}]|[ \n][ \n]|^[ \n]|[ \n]$"
-MARKS = ".,!?;:"
+#: A run of these after letters, up to white space, is a match of its own.
+MARKS = string.punctuation
 NONE = np.int32(1 << 30)
 
 
@@ -54,16 +55,37 @@ class Ranks:
             for i in range(1, len(key))
             if key[:i] in self.ids and key[i:] in self.ids
         )
-        self.keys = np.array([p for p, _ in pairs] + [np.iinfo(np.int64).max], np.int64)
-        self.ranks = np.array([r for _, r in pairs] + [NONE], np.int32)
+        #: A hash table with linear probing, a quarter full at most.
+        self.bits = (4 * len(pairs) + 1).bit_length()
+        self.keys, self.ranks = np.full(1 << self.bits, -1), np.full(1 << self.bits, NONE)
+        key, rank = np.array([p for p, _ in pairs], np.int64), np.array([r for _, r in pairs], np.int32)
+        at = self.slot(key)
+        while len(key):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = key[free]
+            here = self.keys[at] == key
+            self.ranks[at[here]] = rank[here]
+            key, rank, at = key[~here], rank[~here], at[~here] + 1 & len(self.keys) - 1
         self.single = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
         #: Ranks of all pairs of single bytes, with which every word begins.
         self.first = self.pair(np.repeat(self.single, 256), np.tile(self.single, 256))
 
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
-        at = np.searchsorted(self.keys, key)
-        return np.where(self.keys[at] == key, self.ranks[at], NONE)
+        at = self.slot(key)
+        held = self.keys[at]
+        out = np.where(held == key, self.ranks[at], NONE)
+        on = np.nonzero((held != key) & (held >= 0))[0]
+        while len(on):
+            at[on] = at[on] + 1 & len(self.keys) - 1
+            held = self.keys[at[on]]
+            same = on[held == key[on]]
+            out[same] = self.ranks[at[same]]
+            on = on[(held != key[on]) & (held >= 0)]
+        return out
 
 
 @functools.cache
@@ -154,15 +176,46 @@ def encode_words(words: Iterable[str], r: Ranks) -> dict[str, bytes]:
     return dict(zip(words, encode_raw([x.encode() for x in words], r), strict=True))
 
 
+class Memory:
+    """Chunks and their ids, one after another in `flat`, as many as `count` says."""
+
+    def __init__(self) -> None:
+        self.chunks, self.count, self.flat = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def __len__(self) -> int:
+        return len(self.chunks)
+
+    def find(self, chunks: pa.Array) -> np.ndarray:
+        """The place of each chunk, -1 if it isn't here."""
+        return pc.index_in(chunks, value_set=self.chunks).fill_null(-1).to_numpy()
+
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First place in `flat` and count of the ids of chunks."""
+        return (np.cumsum(self.count) - self.count)[at], self.count[at]
+
+    def add(self, chunks: pa.Array, count: np.ndarray, flat: np.ndarray) -> None:
+        self.chunks = pa.concat_arrays([self.chunks, chunks])
+        self.count, self.flat = np.concatenate((self.count, count)), np.concatenate((self.flat, flat))
+
+
+def listed(values: pa.Array) -> list:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def joined(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Count and ids, one after another."""
+    return np.fromiter(map(len, ids), np.int64, len(ids)) // 4, np.frombuffer(b"".join(ids), "<u4")
+
+
 class Encoder:
     """Ids of texts, as bytes of little-endian unsigned 32-bit numbers."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 100_000):
+    def __init__(self, path: str, pattern: str, limit: int = 200_000):
         self.r, self.split, self.limit = ranks(path), regex.compile(pattern).findall, limit
         #: By chunk, as chunks() gives them.
-        self.known: dict[str, bytes] = {}
+        self.known = Memory()
         #: What was known before; what occurs again is taken over.
-        self.before: dict[str, bytes] = {}
+        self.before = Memory()
 
     @staticmethod
     def chunks(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
@@ -189,51 +242,63 @@ class Encoder:
         first[order] = np.cumsum(count[order]) - count[order]
         return both.take(pa.array(spread(first, count))), count
 
-    def learn(self, chunks: list[str]) -> None:
+    def unknown(self, chunks: pa.Array) -> pa.Array:
+        """Those of different chunks that aren't remembered; what was known before is taken over."""
+        new = chunks.filter(pa.array(self.known.find(chunks) < 0))
+        at = self.before.find(new)
+        first, count = self.before.ids(at[at >= 0])
+        self.known.add(new.filter(pa.array(at >= 0)), count, self.before.flat[spread(first, count)])
+        return new.filter(pa.array(at < 0))
+
+    def learn(self, chunks: pa.Array) -> None:
+        """Adds different chunks to what is known."""
         if len(self.known) > self.limit // 2:
-            self.known, self.before = {}, self.known
-        known, before = self.known, self.before
-        known.update([(x, before[x]) for x in chunks if x in before and x not in known])
-        new = [x for x in chunks if x not in known]
-        # Letters alone, or before one mark, need no search.
-        words = [x for x in new if x.isalpha()]
-        known.update(zip(words, encode_raw([b" " + x.encode() for x in words], self.r), strict=True))
-        other = [x for x in new if x not in known]
-        marked = [x for x in other if x[-1] in MARKS and x[:-1].isalpha()]
-        words = list({w for x in marked if (w := x[:-1]) not in known})
-        known.update(zip(words, encode_raw([b" " + x.encode() for x in words], self.r), strict=True))
-        known.update([(x, known[x[:-1]] + self.marks[x[-1]]) for x in marked])
-        other = [x for x in other if x not in known]
-        cut = [self.split(x[1:] if x[0] == "\0" else x if x[0] == "\n" else " " + x) for x in other]
+            self.known, self.before = Memory(), self.known
+        new = self.unknown(chunks)
+        # Letters alone, or before marks, need no search.
+        stems = pc.utf8_rtrim(new, MARKS)
+        plain = pc.utf8_is_alpha(stems)
+        words = self.unknown(stems.filter(plain).unique())
+        self.known.add(words, *joined(encode_raw([b" " + x for x in listed(words.cast(pa.large_binary()))], self.r)))
+        size = (pc.binary_length(new).to_numpy() - pc.binary_length(stems).to_numpy()) * plain.to_numpy(zero_copy_only=False)
+        marked = pa.array(size > 0)
+        both = new.filter(marked)
+        tails = [x[-n:] for x, n in zip(listed(both.cast(pa.large_binary())), size[size > 0].tolist(), strict=True)]
+        place = {x: i for i, x in enumerate(dict.fromkeys(tails))}
+        n, flat = joined(encode_raw(list(place), self.r))
+        of = np.fromiter(map(place.__getitem__, tails), np.int64, len(tails))
+        first, count = self.known.ids(self.known.find(stems.filter(marked)))
+        pairs = np.stack((first, len(self.known.flat) + (np.cumsum(n) - n)[of]), 1).ravel()
+        flat = np.concatenate((self.known.flat, flat))[spread(pairs, np.stack((count, n[of]), 1).ravel())]
+        self.known.add(both, count + n[of], flat)
+        other = new.filter(pc.invert(plain))
+        cut = [self.split(x[1:] if x[0] == "\0" else x if x[0] == "\n" else " " + x) for x in listed(other)]
         get = encode_words({x for pieces in cut for x in pieces}, self.r).__getitem__
-        known.update((x, b"".join(map(get, pieces))) for x, pieces in zip(other, cut, strict=True))
-
-    @functools.cached_property
-    def marks(self) -> dict[str, bytes]:
-        return encode_words(MARKS, self.r)
+        self.known.add(other, *joined([b"".join(map(get, pieces)) for pieces in cut]))
 
-    def encode(self, texts: list[str], step: int = 1 << 20) -> Iterable[bytes]:
-        """In slices of about `step` characters, for bounded memory."""
+    def encode(self, texts: list[str], step: int = 1 << 22, part: int = 1 << 17) -> Iterable[bytes]:
+        """In slices of about `step` characters, which share what they learn, and the ids of about `part` chunks at a time, for bounded memory."""
         at = 0
         while at < len(texts):
             size, end = 0, at
             while end < len(texts) and (size == 0 or size + len(texts[end]) <= step):
                 size += len(texts[end]) or 1
                 end += 1
-            gc.disable()  # nothing cyclic is made here, and the dictionaries are large
             chunks, count = self.chunks(texts[at:end])
             coded = chunks.dictionary_encode()
-            different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-            self.learn(different)
-            gc.enable()
-            ids = list(map(self.known.__getitem__, different))
-            length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            of = coded.indices.to_numpy()
-            n = length[of]
-            flat = np.frombuffer(b"".join(ids), "<u4")[spread((np.cumsum(length) - length)[of], n)].tobytes()
-            ends = 4 * np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(count)))]
-            yield from (flat[a:b] for a, b in pairwise(ends.tolist()))
-            at = end
+            self.learn(coded.dictionary)
+            first, length = self.known.ids(self.known.find(coded.dictionary))
+            flat, of = self.known.flat, coded.indices.to_numpy()
+            text = np.concatenate(([0], np.cumsum(count)))
+            while at < end:
+                k = at - end + len(count)
+                until = max(k + 1, int(np.searchsorted(text, text[k] + part, "right")) - 1)
+                here = of[text[k] : text[until]]
+                n = length[here]
+                out = flat[spread(first[here], n)].tobytes()
+                ends = 4 * np.concatenate(([0], np.cumsum(n)))[text[k : until + 1] - text[k]]
+                yield from (out[a:b] for a, b in pairwise(ends.tolist()))
+                at += until - k
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.r.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -50,6 +50,33 @@ def test_encoder_remembers_what_recurs(monkeypatch):
     assert merged.count(b" qqzzvvkkxx") == 1
 
 
+def test_encoder_merges_a_word_once_whatever_follows(monkeypatch):
+    # A word of the older memory is taken over when marks follow it, too.
+    merged, real = [], bpe.merge_rows
+    monkeypatch.setattr(bpe, "merge_rows", lambda words, *more: merged.extend(words) or real(words, *more))
+    e, known = bpe.Encoder(queries.SINGLE, public_tokenizers.PATTERN, limit=40), encoding(queries.SINGLE)
+    others = " ".join(f"q{chr(97 + i)}xzvk" for i in range(25))
+    for text in ("x qqzzvvkkxx " + others, "x qqzzvvkkxx.", "x " + others, "x qqzzvvkkxx&&& qqzzvvkkxx'*** qqzzvvkkxx's"):
+        (ids,) = e.encode([text])
+        assert np.frombuffer(ids, "<u4").tolist() == known.encode_ordinary(text)
+    assert merged.count(b" qqzzvvkkxx") == 2  # the last is cut at the pattern's 's
+
+
+def test_encoder_learns_for_millions_of_characters_at_once(monkeypatch):
+    # Words of a text that comes back after two others of half a million characters are merged once.
+    rng = random.Random(3)
+    texts = [" ".join(["x", *("".join(rng.choices("aeioubcdnrst", k=10)) for _ in range(60_000))]) for _ in range(3)] * 2
+    merged, real = [], bpe.merge_rows
+    monkeypatch.setattr(bpe, "merge_rows", lambda rows, *more: merged.extend(rows) or real(rows, *more))
+    e, known = bpe.Encoder(queries.SINGLE, public_tokenizers.PATTERN, limit=1000), encoding(queries.SINGLE)
+    got = list(e.encode(texts))
+    assert len(merged) == len(set(merged))
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [*map(known.encode_ordinary, texts)]
+    short = [x for k in range(200) for x in ("", texts[0][70 * k : 70 * k + 60])]
+    for part in (1, 7, 100, 10**6):
+        assert list(e.encode(short, part=part)) == list(bpe.Encoder(queries.SINGLE, public_tokenizers.PATTERN).encode(short))
+
+
 def test_digests(spark):
     docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").withColumn("ids", F.lit("clash"))
     known = encoding(queries.MULTI)
